@@ -1,10 +1,13 @@
 """Exact quantiles per group, for groups of any size.
 
-The built-in ``percentile`` keeps a group's distinct values in one task's memory, so it
-is not used on element tables. Ordinary groups are ranked by a spilling window sort over
-value counts. A group beyond ``SORT_ROWS`` rows is first narrowed: a mergeable sketch
-brackets every wanted rank, values below a bracket are only counted, and only the values
-inside are sorted.
+Three ways by the size of the group, all exact:
+
+* small groups use the built-in ``percentile``, which keeps the distinct values of a
+  group in memory;
+* larger ones are ranked by a window sort over value counts, which spills to disk;
+* a group beyond ``SORT_ROWS`` is first narrowed: a mergeable sketch brackets every
+  wanted rank, values below a bracket are only counted, and only the values inside are
+  sorted.
 """
 
 from __future__ import annotations
@@ -18,6 +21,7 @@ from pyspark.sql import functions as F
 
 from buildscope.plans.tables import attach, materialize
 
+MAP_ROWS = 10_000
 SORT_ROWS = 1_000_000
 SKETCH_ACCURACY = 10_000
 
@@ -32,6 +36,7 @@ def exact_quantiles(
     probs: Sequence[float],
     key: str = "model_id",
     *,
+    map_rows: int | None = None,
     sort_rows: int | None = None,
     accuracy: int = SKETCH_ACCURACY,
     broadcast_rows: int | None = None,
@@ -39,22 +44,37 @@ def exact_quantiles(
     """One row per key with a column ``<column>_q<prob>`` for each column and probability.
 
     Linear interpolation between ranks, nulls ignored; a group without values has nulls.
+    The group sizes are counted first, over the key column alone.
     """
     columns, probs = list(columns), list(probs)
+    map_rows = MAP_ROWS if map_rows is None else map_rows
     sort_rows = SORT_ROWS if sort_rows is None else sort_rows
     base = rows.select(key, *columns)
-    sizes = base.groupBy(key).agg(F.count(F.lit(1)).alias("_rows"))
-    big = sizes.filter(F.col("_rows") > sort_rows).select(key)
-    if big.isEmpty():
-        return _by_rank(base, columns, probs, key)
-    big = materialize(big, "big-groups")
-    ordinary = attach(base, big, [key], "left_anti", broadcast_rows=broadcast_rows)
-    large = attach(base, big, [key], "left_semi", broadcast_rows=broadcast_rows)
-    return _by_rank(ordinary, columns, probs, key).unionByName(
-        _by_bracket(large, columns, probs, key, accuracy, broadcast_rows)
+    sizes = base.groupBy(key).agg(F.count(F.lit(1)).alias("_rows")).filter(F.col("_rows") > map_rows)
+    if sizes.isEmpty():
+        return _by_map(base, columns, probs, key)
+    sizes = materialize(sizes, "group-sizes")
+
+    def part(groups: DataFrame, how: str) -> DataFrame:
+        return attach(base, groups.select(key), [key], how, broadcast_rows=broadcast_rows)
+
+    found = _by_map(part(sizes, "left_anti"), columns, probs, key)
+    found = found.unionByName(
+        _by_rank(part(sizes.filter(F.col("_rows") <= sort_rows), "left_semi"), columns, probs, key)
+    )
+    huge = sizes.filter(F.col("_rows") > sort_rows)
+    if huge.isEmpty():
+        return found
+    return found.unionByName(
+        _by_bracket(part(huge, "left_semi"), columns, probs, key, accuracy, broadcast_rows)
     )
 
 
+def _by_map(base: DataFrame, columns: list[str], probs: list[float], key: str) -> DataFrame:
+    lists = base.groupBy(key).agg(*[F.percentile(c, probs).alias(c) for c in columns])
+    return lists.select(key, *[F.col(c)[j].alias(quantile_name(c, p)) for c in columns for j, p in enumerate(probs)])
+
+
 def _ranks(prob: float, n: Column) -> tuple[Column, Column, Column]:
     position = F.lit(float(prob)) * (n - 1)
     return F.floor(position), F.ceil(position), position - F.floor(position)
@@ -66,7 +86,8 @@ def _interpolate(prob: float, n: Column, first: Column, after: Column) -> Column
     at_low = F.max(F.when((first <= low) & (low < after), F.col("_value")))
     at_high = F.max(F.when((first <= high) & (high < after), F.col("_value")))
     fraction = F.max(fraction)
-    return at_low + (at_high - at_low) * fraction
+    mixed = at_low * (F.lit(1.0) - fraction) + at_high * fraction
+    return F.when(at_low == at_high, at_low).otherwise(mixed)
 
 
 def _wide(long: DataFrame, columns: Sequence[str], probs: Sequence[float], key: str) -> list[Column]:

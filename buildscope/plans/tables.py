@@ -50,6 +50,16 @@ def materialize(df: DataFrame, label: str = "table") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Deal the rows of an input with too few splits over all cores; other inputs are left alone.
+
+    A table of one small file is read by a single task, which would run every narrow
+    step after it. Large tables have more splits than cores and are not shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df
+
+
 def is_small(df: DataFrame, bound: int | None = None) -> bool:
     """Whether ``df`` has at most ``bound`` rows; reads no more than ``bound + 1`` of them."""
     bound = BROADCAST_ROWS if bound is None else bound

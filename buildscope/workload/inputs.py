@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from buildscope.functions.columns import missing_to_null
 from buildscope.operators import portfolio
+from buildscope.plans.tables import spread
 
 BASE = {
     "model_id": """'model_' || CAST(CASE WHEN l_suppkey % 10 IN (0, 1) THEN l_suppkey - l_suppkey % 10 ELSE l_suppkey END AS VARCHAR(20))
@@ -57,7 +58,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def base_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items, parts = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "part")
+    items, parts = spread(table(spark, sf_dir, "lineitem"), "l_orderkey"), table(spark, sf_dir, "part")
     return items.join(parts, items["l_partkey"] == parts["p_partkey"])
 
 
