@@ -194,7 +194,7 @@ def check_duplicate_global_ids(df: DataFrame) -> DataFrame:
     """
     repeated = materialize(duplicated_ids(df), "duplicate-ids")
     elements = df.select(*DUPLICATE_KEY, "ifc_type", _element_name(df).alias("element_name"))
-    return attach(elements, repeated, DUPLICATE_KEY, "inner").select(
+    return attach(elements, repeated, DUPLICATE_KEY, "inner", rows_per_key="occurrences").select(
         "model_id", "global_id", "ifc_type",
         F.lit("duplicate_global_id").alias("issue_type"),
         F.lit(CRITICAL).alias("severity"),

@@ -187,9 +187,8 @@ TOP_MODELS = 5
 def top_models(results: DataFrame, column: str, n: int = TOP_MODELS) -> DataFrame:
     """The ``n`` models with the highest ``column``, ties by name; empty below ``n`` successes."""
     good = successes(results)
-    enough = good.agg((F.count(F.lit(1)) >= n).alias("_enough"))
-    top = good.select("model_name", column).orderBy(F.desc(column), "model_name").limit(n)
-    return top.join(F.broadcast(enough), F.col("_enough")).drop("_enough")
+    enough = good.agg(F.count(F.lit(1)) >= n).scalar()
+    return good.select("model_name", column).orderBy(F.desc(column), "model_name").limit(n).filter(enough)
 
 
 def below_threshold(results: DataFrame, threshold: float = 80.0) -> DataFrame:
@@ -216,15 +215,17 @@ def portfolio_metrics(results: DataFrame, threshold: float = 80.0) -> DataFrame:
             F.transform(entries, lambda e: F.struct(e["model_name"], e[column])).alias(name)
         )
 
-    one_row = [
-        best_worst_model(results),
-        portfolio_anomaly_kpis(results).drop("models_with_ml"),
-        below_threshold(results, threshold),
-        top_list("critical_issues", "top_models_by_critical"),
-        top_list("total_issues", "top_models_by_issues"),
-    ]
-    document = portfolio_kpis(results)
-    for part in one_row:
-        # Every part is an aggregate without keys: at most one row.
-        document = document.join(F.broadcast(part), F.lit(True), "left")
-    return document
+    def fields(part: DataFrame) -> dict[str, Column]:
+        """The columns of a one-row part, each taken from one subquery."""
+        row = part.select(F.struct("*").alias("_row")).scalar()
+        return {c: row[c] for c in part.columns}
+
+    return portfolio_kpis(results).withColumns(
+        {
+            **fields(best_worst_model(results)),
+            **fields(portfolio_anomaly_kpis(results).drop("models_with_ml")),
+            **fields(below_threshold(results, threshold)),
+            **fields(top_list("critical_issues", "top_models_by_critical")),
+            **fields(top_list("total_issues", "top_models_by_issues")),
+        }
+    )

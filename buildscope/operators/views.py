@@ -20,15 +20,14 @@ def quality_ranking(results: DataFrame) -> DataFrame:
 def critical_or_total_top(results: DataFrame, n: int = 10) -> DataFrame:
     """Models with the most critical issues; with no critical issue anywhere, with the most issues."""
     good = successes(results).select("model_name", "critical_issues", "total_issues")
-    any_critical = F.broadcast(good.agg((F.max("critical_issues") > 0).alias("_critical")))
-    by_critical = F.col("_critical")
+    by_critical = good.agg(F.max("critical_issues") > 0).scalar()
     return (
-        good.join(any_critical, F.lit(True))
-        .filter(~by_critical | (F.col("critical_issues") > 0))
+        good.withColumn("_critical", by_critical)
+        .filter(~F.col("_critical") | (F.col("critical_issues") > 0))
         .select(
             "model_name",
-            F.when(by_critical, F.col("critical_issues")).otherwise(F.col("total_issues")).alias("issue_count"),
-            F.when(by_critical, F.lit("critical_issues")).otherwise(F.lit("total_issues")).alias("ranked_by"),
+            F.when(F.col("_critical"), F.col("critical_issues")).otherwise(F.col("total_issues")).alias("issue_count"),
+            F.when(F.col("_critical"), F.lit("critical_issues")).otherwise(F.lit("total_issues")).alias("ranked_by"),
         )
         .orderBy(F.desc("issue_count"), "model_name")
         .limit(n)
@@ -38,22 +37,25 @@ def critical_or_total_top(results: DataFrame, n: int = 10) -> DataFrame:
 def issue_rate_histogram(results: DataFrame, bins: int = 20) -> DataFrame:
     """Models per bin of equal width between the lowest and the highest issue rate."""
     rates = successes(results).select(F.col("issue_rate_per_1k").alias("_rate"))
-    span = F.broadcast(
-        rates.agg(F.min("_rate").alias("_low"), ((F.max("_rate") - F.min("_rate")) / float(bins)).alias("_width"))
+    span = rates.agg(
+        F.min("_rate").alias("low"), ((F.max("_rate") - F.min("_rate")) / float(bins)).alias("width")
     )
-    low, width = F.col("_low"), F.col("_width")
+    edges = span.select(F.struct("low", "width")).scalar()
+    low, width = F.col("_edges.low"), F.col("_edges.width")
     bin_of = F.when(width > 0, F.least(F.lit(bins - 1), F.floor((F.col("_rate") - low) / width))).otherwise(F.lit(0))
-    counted = rates.join(span, F.lit(True)).groupBy(bin_of.cast("long").alias("bin")).agg(
-        F.count(F.lit(1)).alias("model_count")
+    counted = (
+        rates.withColumn("_edges", edges)
+        .groupBy(bin_of.cast("long").alias("bin"))
+        .agg(F.count(F.lit(1)).alias("model_count"))
     )
-    # The edges are a fixed number of rows.
-    edges = span.filter(low.isNotNull()).select(
-        F.explode(F.sequence(F.lit(0).cast("long"), F.lit(bins - 1).cast("long"))).alias("bin"), "_low", "_width"
+    # A fixed number of rows, empty bins included.
+    all_bins = span.filter(F.col("low").isNotNull()).select(
+        F.explode(F.sequence(F.lit(0).cast("long"), F.lit(bins - 1).cast("long"))).alias("bin"), "low", "width"
     )
-    return edges.join(counted, "bin", "left").select(
+    return all_bins.join(counted, "bin", "left").select(
         "bin",
-        (low + F.col("bin") * width).alias("bin_start"),
-        (low + (F.col("bin") + 1) * width).alias("bin_end"),
+        (F.col("low") + F.col("bin") * F.col("width")).alias("bin_start"),
+        (F.col("low") + (F.col("bin") + 1) * F.col("width")).alias("bin_end"),
         F.coalesce("model_count", F.lit(0)).alias("model_count"),
     )
 

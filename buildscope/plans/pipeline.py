@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from buildscope.operators import checks, metrics, portfolio
 from buildscope.operators.anomaly import to_anomalies
 from buildscope.operators.forest import AnomalyDetector
-from buildscope.schemas import FEATURES
-from buildscope.sources import tables
+from buildscope.operators.geometry import compute_geometry_features
+from buildscope.plans.tables import attach, materialize
+from buildscope.schemas import FEATURES, GEOMETRY_COLUMNS
+from buildscope.sources import step, tables
 
 
 def run_portfolio_analysis(
@@ -51,9 +54,49 @@ def run_portfolio_analysis(
     results = portfolio.model_results(rows, anomalies, limits=limits)
     if failures is not None:
         results = portfolio.with_failures(results, failures)
-    tables.export_csv(results, f"{output}/portfolio_summary.csv")
-    written, _ = tables.load_portfolio_data(spark, output)
-    overall = portfolio.portfolio_metrics(written, quality_threshold)
-    tables.export_json(written, f"{output}/portfolio_summary.json")
-    tables.export_json(overall, f"{output}/portfolio_metrics.json")
+    results = materialize(results, "results")
+    overall = materialize(portfolio.portfolio_metrics(results, quality_threshold), "portfolio")
+    tables.save_portfolio_results(results, overall, output)
     return overall
+
+
+def analyse_directory(
+    spark: SparkSession,
+    directory: str,
+    output: str,
+    meshes: DataFrame | None = None,
+    *,
+    recursive: bool = False,
+    types: DataFrame | None = None,
+    record_end: str | None = step.RECORD_END,
+    **options,
+) -> DataFrame:
+    """The workflow from a folder of model files.
+
+    A file that cannot be read becomes a failure row and the others go on. ``meshes``
+    holds the world-coordinate vertices of the elements; without it no element has
+    geometry.
+    """
+    listing = step.discover_models(spark, directory, recursive)
+    records = step.read_records(spark, directory, recursive, record_end)
+    checked = materialize(
+        step.validate_models(listing.withColumns({"exists": F.lit(True), "is_file": F.lit(True)}), records).join(
+            listing.select("path", "model_id"), "path"
+        ),
+        "validated",
+    )
+    failures = checked.filter(~F.col("is_valid")).select(
+        F.col("model_id").alias("model_name"),
+        F.col("path").alias("model_path"),
+        F.concat(F.lit("IFCLoadError: "), F.col("error")).alias("error_message"),
+    )
+    readable = checked.filter("is_valid").select("model_id")
+    elements = step.extract_elements(step.parse_entities(records), types, keep_entity_id=True)
+    elements = attach(elements, readable, ["model_id"], "left_semi").withColumnRenamed("entity_id", "element_key")
+    if meshes is None:
+        features = elements.withColumns(
+            {"has_geometry": F.lit(False), **{c: F.lit(None).cast("double") for c in GEOMETRY_COLUMNS}}
+        )
+    else:
+        features = compute_geometry_features(elements, meshes)
+    return run_portfolio_analysis(features, output, failures=failures, **options)

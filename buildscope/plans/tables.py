@@ -68,27 +68,33 @@ def is_small(df: DataFrame, bound: int | None = None) -> bool:
 
 def hot_keys(rows: DataFrame, keys: Sequence[str], hot_rows: int | None = None) -> DataFrame:
     """Keys holding more than ``hot_rows`` rows, the largest ``HOT_KEYS`` of them."""
+    return largest_keys(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")), keys, "_rows", hot_rows)
+
+
+def largest_keys(counted: DataFrame, keys: Sequence[str], count: str, hot_rows: int | None = None) -> DataFrame:
     hot_rows = HOT_ROWS if hot_rows is None else hot_rows
     return (
-        rows.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("_rows"))
-        .filter(F.col("_rows") > hot_rows)
-        .orderBy(F.desc("_rows"), *keys)
-        .limit(HOT_KEYS)
-        .select(*keys)
+        counted.filter(F.col(count) > hot_rows).orderBy(F.desc(count), *keys).limit(HOT_KEYS).select(*keys)
     )
 
 
 def skew_safe_join(
-    rows: DataFrame, other: DataFrame, keys: Sequence[str], how: str = "left", hot_rows: int | None = None
+    rows: DataFrame,
+    other: DataFrame,
+    keys: Sequence[str],
+    how: str = "left",
+    hot_rows: int | None = None,
+    rows_per_key: str | None = None,
 ) -> DataFrame:
     """Join ``rows`` to ``other`` (at most one row per key) without shuffling hot keys.
 
     Rows of the hot keys meet their single partner through a broadcast bounded by
-    ``HOT_KEYS`` rows; all other rows use an ordinary shuffle join.
+    ``HOT_KEYS`` rows; all other rows use an ordinary shuffle join. ``rows_per_key``
+    names a column of ``other`` with the number of ``rows`` of its key, where known;
+    else the keys are counted.
     """
     keys = list(keys)
-    hot = hot_keys(rows, keys, hot_rows)
+    hot = hot_keys(rows, keys, hot_rows) if rows_per_key is None else largest_keys(other, keys, rows_per_key, hot_rows)
     if hot.isEmpty():
         return rows.join(other, keys, how)
     hot = F.broadcast(materialize(hot, "hot-keys"))
@@ -106,6 +112,7 @@ def attach(
     *,
     broadcast_rows: int | None = None,
     hot_rows: int | None = None,
+    rows_per_key: str | None = None,
 ) -> DataFrame:
     """Join ``rows`` to a written table with one row per key.
 
@@ -114,4 +121,4 @@ def attach(
     """
     if is_small(other, broadcast_rows):
         return rows.join(F.broadcast(other), list(keys), how)
-    return skew_safe_join(rows, other, keys, how, hot_rows)
+    return skew_safe_join(rows, other, keys, how, hot_rows, rows_per_key)

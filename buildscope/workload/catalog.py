@@ -656,11 +656,9 @@ def anomaly_confidence(spark, sf):
 
 # --- outliers: the forest (no SQL form) --------------------------------------------
 
-TREES = 20
-
 
 def _detector() -> forest.AnomalyDetector:
-    return forest.AnomalyDetector(portfolio.contamination, n_estimators=TREES)
+    return forest.AnomalyDetector(portfolio.contamination)
 
 
 @query
@@ -676,7 +674,7 @@ def forest_scores(spark, sf):
 
 @query
 def detect_anomalies(spark, sf):
-    return forest.detect_anomalies(_features(spark, sf), n_estimators=TREES)[0]
+    return forest.detect_anomalies(_features(spark, sf))[0]
 
 
 @query

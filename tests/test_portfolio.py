@@ -182,3 +182,25 @@ def test_unreadable_issue_files_are_skipped(spark, tmp_path):
     (tmp_path / "issues" / "model_id=m9").mkdir()
     (tmp_path / "issues" / "model_id=m9" / "part-0.parquet").write_text("broken")
     assert tables.scan_issues(spark, path).count() == before > 0
+
+
+def test_directory_analysis(spark, tmp_path):
+    from buildscope.schemas import MESHES
+
+    source = tmp_path / "models"
+    source.mkdir()
+    head = "ISO-10303-21;\nHEADER;\nFILE_SCHEMA(('IFC4'));\nENDSEC;\nDATA;\n"
+    walls = "".join(f"#{i}=IFCWALL('w{i}',#1,'n',$,$,#5,#6,$,$);\n" for i in range(1, 21))
+    (source / "good.ifc").write_text(head + walls + "ENDSEC;\n")
+    (source / "bad.ifc").write_text("nonsense")
+    meshes = spark.createDataFrame([("good", f"w{i}", i, [0.0] * 3 + [1.0, 2.0, float(i)]) for i in range(1, 11)], MESHES)
+    found = pipeline.analyse_directory(spark, str(source), str(tmp_path / "out"), meshes, enable_ml=True, n_estimators=3).first()
+    assert (found["total_models"], found["success_models"], found["failed_models"]) == (2, 1, 1)
+    assert found["total_elements"] == 20 and found["total_minor_issues"] == 20
+    summary, _ = tables.load_portfolio_data(spark, str(tmp_path / "out"))
+    failed = summary.filter("status = 'failure'").first()
+    assert failed["model_name"] == "bad" and failed["error_message"].startswith("IFCLoadError: Failed to parse")
+    rows, _, _ = tables.load_model_data(spark, str(tmp_path / "out"), "good")
+    assert rows.filter("has_geometry").count() == 10
+    bare = pipeline.analyse_directory(spark, str(source), str(tmp_path / "bare")).first()
+    assert bare["total_elements"] == 20 and bare["total_anomalies"] is None
