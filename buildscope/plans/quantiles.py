@@ -75,22 +75,20 @@ def _by_map(base: DataFrame, columns: list[str], probs: list[float], key: str) -
     return lists.select(key, *[F.col(c)[j].alias(quantile_name(c, p)) for c in columns for j, p in enumerate(probs)])
 
 
-def _ranks(prob: float, n: Column) -> tuple[Column, Column, Column]:
-    position = F.lit(float(prob)) * (n - 1)
-    return F.floor(position), F.ceil(position), position - F.floor(position)
-
-
 def _interpolate(prob: float, n: Column, first: Column, after: Column) -> Column:
-    """Value at ``prob`` from aggregated rows that cover the 0-based ranks ``first .. after - 1``."""
-    low, high, fraction = _ranks(prob, n)
+    """Value at ``prob`` from aggregated rows that cover the 0-based ranks ``first .. after - 1``.
+
+    The arithmetic is that of ``percentile``, so a group's size never changes its result.
+    """
+    position = F.lit(float(prob)) * (n - 1)
+    low, high = F.floor(position), F.ceil(position)
     at_low = F.max(F.when((first <= low) & (low < after), F.col("_value")))
     at_high = F.max(F.when((first <= high) & (high < after), F.col("_value")))
-    fraction = F.max(fraction)
-    mixed = at_low * (F.lit(1.0) - fraction) + at_high * fraction
+    mixed = F.max(high - position) * at_low + F.max(position - low) * at_high
     return F.when(at_low == at_high, at_low).otherwise(mixed)
 
 
-def _wide(long: DataFrame, columns: Sequence[str], probs: Sequence[float], key: str) -> list[Column]:
+def _wide(columns: Sequence[str], probs: Sequence[float]) -> list[Column]:
     return [
         F.max(F.when(F.col("_column") == i, F.col(f"_p{j}"))).alias(quantile_name(c, p))
         for i, c in enumerate(columns)
@@ -112,7 +110,7 @@ def _by_rank(base: DataFrame, columns: list[str], probs: list[float], key: str)
     picked = ranked.groupBy(key, "_column").agg(
         *[_interpolate(p, n, first, after).alias(f"_p{j}") for j, p in enumerate(probs)]
     )
-    return picked.groupBy(key).agg(*_wide(picked, columns, probs, key))
+    return picked.groupBy(key).agg(*_wide(columns, probs))
 
 
 def _by_bracket(

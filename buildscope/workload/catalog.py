@@ -607,10 +607,13 @@ def derived_features(spark, sf):
 
 
 def _scored(spark: SparkSession, sf: str) -> DataFrame:
-    """Minus the summed distances of the sides from the median of their model, in quartile ranges."""
+    """Minus the summed distances of the sides from the median of their model, in quartile ranges.
+
+    Rounded, so that equal distances are equal scores however they were added up.
+    """
     rows = _features(spark, sf).select("model_id", "global_id", "ifc_type", "has_geometry", *SIZES)
     scaled, _ = preprocess.preprocess_features(rows)
-    score = -(F.abs("dim_x") + F.abs("dim_y") + F.abs("dim_z"))
+    score = F.round(-(F.abs("dim_x") + F.abs("dim_y") + F.abs("dim_z")), 9)
     return materialize(scaled.select("model_id", "global_id", "ifc_type", score.alias("anomaly_score")), "scored")
 
 

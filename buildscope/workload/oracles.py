@@ -118,7 +118,7 @@ FLAGGED = {
     "fills": fills_sql(SIZES),
     "filled": filled_sql(SIZES),
     "scaler": robust_sql(SIZES),
-    "scored": "SELECT model_id, global_id, ifc_type, -(abs(dim_x) + abs(dim_y) + abs(dim_z)) AS anomaly_score FROM ("
+    "scored": "SELECT model_id, global_id, ifc_type, round(-(abs(dim_x) + abs(dim_y) + abs(dim_z)), 9) AS anomaly_score FROM ("
     + prepared_sql(SIZES)
     + ")",
     "limits": """SELECT q.model_id, low, high, CASE WHEN n > 1000 THEN q2 WHEN n > 500 THEN q3 ELSE q5 END AS score_limit
