@@ -115,8 +115,8 @@ def _element_name(df: DataFrame) -> Column:
 def local_issues(df: DataFrame, rules: Iterable[str] = LOCAL_RULES, limits: Limits = Limits()) -> DataFrame:
     """Violations of the element-local rules, in one scan.
 
-    Every row carries a short array of the violations it has; text is made only after
-    the explode, so a consumer that counts issues never formats a message.
+    Every row is expanded to its candidates inside generated code and the broken ones
+    stay. Text is made last, so a consumer that counts issues never formats a message.
     """
     violations = list(local_violations(df.columns, rules, limits))
     if not violations:
@@ -128,9 +128,8 @@ def local_issues(df: DataFrame, rules: Iterable[str] = LOCAL_RULES, limits: Limi
         ]
     )
     hits = df.select(
-        "model_id", "global_id", "ifc_type", _element_name(df).alias("_name"),
-        F.explode(F.filter(found, lambda x: x.isNotNull())).alias("_hit"),
-    )
+        "model_id", "global_id", "ifc_type", _element_name(df).alias("_name"), F.explode(found).alias("_hit")
+    ).filter(F.col("_hit").isNotNull())
     which, value = F.col("_hit.which"), F.col("_hit.value")
 
     def lookup(texts: list[str]) -> Column:
@@ -251,7 +250,10 @@ def severity_counts(severity: str) -> Column:
 
 def issues_summary(issues: DataFrame) -> DataFrame:
     """Per model: total, counts by severity and by type, and the three severity totals."""
-    cube = issues.groupBy("model_id", "severity", "issue_type").agg(F.count(F.lit(1)).alias("_n"))
+    # A few rows per model, read three times.
+    cube = materialize(
+        issues.groupBy("model_id", "severity", "issue_type").agg(F.count(F.lit(1)).alias("_n")), "issue-counts"
+    )
 
     def counts(column: str) -> DataFrame:
         per = cube.groupBy("model_id", column).agg(F.sum("_n").alias("_n"))

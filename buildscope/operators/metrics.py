@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from buildscope.functions.columns import blank
+from buildscope.plans.tables import materialize
 
 # Weight of an issue in the quality score.
 SEVERITY_WEIGHTS = {"critical": 3.0, "major": 2.0, "minor": 1.0}
@@ -183,8 +184,11 @@ def build_metrics(
     severity_weights: Mapping[str, float] | None = None,
     top_n: int = 10,
 ) -> tuple[DataFrame, dict[str, DataFrame]]:
-    """The nested metrics document per model, and the long tables behind the charts."""
-    counts = issue_counts(issues)
+    """The nested metrics document per model, and the long tables behind the charts.
+
+    The issues are read once: everything else comes from their written counts.
+    """
+    counts = materialize(issue_counts(issues), "issue-counts")
     summary = _summary(metadata_completeness(elements), counts, severity_weights)
     by_ifc_type, by_type = issues_by(counts, "ifc_type"), issues_by(counts, "issue_type")
     table = pareto(by_type)

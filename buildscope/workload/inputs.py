@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from buildscope.functions.columns import missing_to_null
 from buildscope.operators import portfolio
-from buildscope.plans.tables import spread
+from buildscope.plans.tables import materialize, spread
 
 BASE = {
     "model_id": """'model_' || CAST(CASE WHEN l_suppkey % 10 IN (0, 1) THEN l_suppkey - l_suppkey % 10 ELSE l_suppkey END AS VARCHAR(20))
@@ -194,8 +194,9 @@ def failures(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def results(spark: SparkSession, sf_dir: str, anomalies: DataFrame | None = None) -> DataFrame:
+    """The written portfolio table of the models that could be read."""
     runtime = F.col("element_count") * RUNTIME_PER_ELEMENT
-    return portfolio.model_results(features(spark, sf_dir), anomalies, runtime)
+    return materialize(portfolio.model_results(features(spark, sf_dir), anomalies, runtime), "results")
 
 
 def all_results(spark: SparkSession, sf_dir: str, anomalies: DataFrame | None = None) -> DataFrame:
