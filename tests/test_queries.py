@@ -21,6 +21,11 @@ SECTION = [
     "metrics_document", "model_results_with_failures", "portfolio_kpis", "critical_or_total_top", "issue_rate_histogram",
     "issues_sink_pareto", "top_issues", "preprocess_features", "anomaly_flag",
 ]
+TOP_LISTS = {
+    "step_elements_first_100", "geometry_features", "element_summary_top10", "element_summary_top3", "geometry_sample",
+    "severity_samples", "top_offenders_ifc_type", "top_offenders_issue_type", "pareto_top_n", "metrics_document",
+    "top_issues", "top_anomalies", "anomaly_top10", "anomaly_by_type",
+}
 QUERIES, SQL = contract.queries(), contract.oracle_sql()
 CHOSEN = sorted(SQL) if os.environ.get("ALL_QUERIES") else SECTION
 
@@ -43,6 +48,10 @@ def test_every_sql_has_a_query():
 @pytest.mark.parametrize("name", CHOSEN)
 def test_query(spark, db, name):
     found = QUERIES[name](spark, SF)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+    # A top list per model is cut before the shuffle.
+    assert ("WindowGroupLimit" in plan) == (name in TOP_LISTS)
     columns = sorted(found.columns)
     expected = db.sql(SQL[name])
     assert sorted(expected.columns) == columns
