@@ -95,9 +95,10 @@ def skew_safe_join(
     """
     keys = list(keys)
     hot = hot_keys(rows, keys, hot_rows) if rows_per_key is None else largest_keys(other, keys, rows_per_key, hot_rows)
+    hot = materialize(hot, "hot-keys")
     if hot.isEmpty():
         return rows.join(other, keys, how)
-    hot = F.broadcast(materialize(hot, "hot-keys"))
+    hot = F.broadcast(hot)
     partners = F.broadcast(other.join(hot, keys, "left_semi"))
     direct = rows.join(hot, keys, "left_semi").join(partners, keys, how)
     shuffled = rows.join(hot, keys, "left_anti").join(other, keys, how)
