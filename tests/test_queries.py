@@ -12,6 +12,7 @@ import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 import __spark_entry__ as contract
+from buildscope.workload import catalog, oracles
 from tools.compare import SAME_TYPE, TABLES, canonical
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
@@ -26,7 +27,7 @@ TOP_LISTS = {
     "severity_samples", "top_offenders_ifc_type", "top_offenders_issue_type", "pareto_top_n", "metrics_document",
     "top_issues", "top_anomalies", "anomaly_top10", "anomaly_by_type",
 }
-QUERIES, SQL = contract.queries(), contract.oracle_sql()
+QUERIES, SQL = catalog.QUERIES, oracles.all_sql()
 CHOSEN = sorted(SQL) if os.environ.get("ALL_QUERIES") else SECTION
 
 
@@ -41,6 +42,7 @@ def db():
 
 
 def test_every_sql_has_a_query():
+    assert set(QUERIES) <= set(contract.queries()) and set(contract.oracle_sql()) <= set(contract.queries())
     assert set(SQL) <= set(QUERIES)
     assert set(QUERIES) - set(SQL) == {"forest_nodes", "forest_scores", "detect_anomalies", "forest_roundtrip"}
 
