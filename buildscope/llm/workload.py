@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from buildscope.llm import token_counts, url_rules
+from buildscope.llm import secret_scan, token_counts, url_rules
 from buildscope.llm.common import table
 
 URL_RULES = [
@@ -22,18 +22,61 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge_urls(table(spark, sf_dir, "pages"), rules)
 
 
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan(table(spark, sf_dir, "documents"))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), limit=512)
 
 
 QUERIES = {
     "op2_url_filter": op2_url_filter,
+    "op3_secret_scan": op3_secret_scan,
     "op7_token_counts": op7_token_counts,
 }
 
 _RULES = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in URL_RULES)
 
+def _sql_matches(name: str, pattern: str) -> str:
+    """The matches of a pattern, placed by the lengths of what lies between them."""
+    quoted = pattern.replace("'", "''")
+    return f"""{name} AS (
+  SELECT n, match, CAST(list_sum(list_transform(gaps[:i], lambda g: length(g))) + coalesce(list_sum(list_transform(found[:i - 1], lambda g: length(g))), 0) AS BIGINT) AS start
+  FROM (SELECT n, found, gaps, unnest(found) AS match, unnest(range(1, len(found) + 1)) AS i
+    FROM (SELECT n, regexp_extract_all(text, '{quoted}') AS found, string_split_regex(text, '{quoted}') AS gaps FROM docs) WHERE len(found) > 0))"""
+
+
+def _sql_secrets() -> str:
+    with_, base = [], []
+    for order, kind in enumerate(secret_scan.KINDS):
+        with_.append(_sql_matches(kind.name, kind.pattern))
+        quoted = kind.pattern.replace("'", "''")
+        base.append(f"SELECT n, start, {order} AS ord, start + length(match) AS stop, '{kind.name}' AS kind FROM {kind.name} WHERE length(regexp_extract(match, '{quoted}', {kind.group})) >= {kind.least}")
+    allowed = "|".join(secret_scan.ALLOWED)
+    dense = []
+    for order, d in enumerate(secret_scan.DENSE, len(secret_scan.KINDS)):
+        with_.append(_sql_matches(f"{d.name}_runs", f"[{d.characters}]{{{d.window},}}"))
+        with_.append(f"""{d.name}_windows AS (SELECT n, run, first FROM (SELECT n, start AS run, match, start + unnest(range(0, length(match) - {d.window} + 1)) AS first FROM {d.name}_runs
+  WHERE NOT regexp_full_match(match, '{allowed}')) WHERE list_aggregate(string_split(substr(match, first - run + 1, {d.window}), ''), 'entropy') >= {d.bits})""")
+        dense.append(f"""SELECT n, min(first) AS start, {order} AS ord, max(first) + {d.window} AS stop, '{d.name}' AS kind FROM (SELECT *, sum(apart) OVER (PARTITION BY n, run ORDER BY first) AS part
+  FROM (SELECT *, CASE WHEN first - lag(first) OVER (PARTITION BY n, run ORDER BY first) <= {d.window} THEN 0 ELSE 1 END AS apart FROM {d.name}_windows)) GROUP BY n, run, part""")
+    joined = "string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, ord, stop)"
+    counts = ", ".join(f"count(*) FILTER (kind = '{k.name}') AS n_{k.name}" for k in secret_scan.KINDS)
+    zeros = ", ".join(f"coalesce(n_{k.name}, 0) AS n_{k.name}" for k in secret_scan.KINDS)
+    return f"""
+WITH docs AS (SELECT doc_id, coalesce(text, '') AS text, row_number() OVER () AS n FROM documents),
+{", ".join(with_)},
+base AS ({" UNION ALL ".join(base)}),
+dense AS (SELECT * FROM ({" UNION ALL ".join(dense)}) d WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.n = d.n AND b.start <= d.start AND b.stop >= d.stop)),
+counted AS (SELECT n, {counts}, sha256({joined}) AS base_sha256 FROM base GROUP BY n),
+listed AS (SELECT n, {joined} AS spans FROM (SELECT * FROM base UNION ALL SELECT * FROM dense) GROUP BY n)
+SELECT doc_id, {zeros}, coalesce(base_sha256, sha256('')) AS base_sha256, coalesce(spans, '') AS spans
+FROM docs LEFT JOIN counted USING (n) LEFT JOIN listed USING (n)"""
+
+
 SQL = {
+    "op3_secret_scan": _sql_secrets(),
     "op2_url_filter": f"""
 WITH rules(rule_host, rule_path, rule_verdict) AS (VALUES {_RULES}),
 rest AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
