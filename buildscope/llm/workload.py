@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from buildscope.llm import fingerprints, secret_scan, token_counts, url_rules
+from buildscope.llm import fingerprints, language_id, quality, secret_scan, token_counts, url_rules
 from buildscope.llm.common import table
+from buildscope.llm.samples import remainder
 
 URL_RULES = [
     ("org", "/", "allow"),
@@ -26,10 +28,31 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan(table(spark, sf_dir, "documents"))
 
 
+def language_model(docs: DataFrame) -> language_id.Model:
+    """Learned from the documents of the folds 0, 1 and 3 of four."""
+    return language_id.train(docs.filter(remainder("doc_id", 4) != 2))
+
+
+def _held_out(modulus: int, fold: int):
+    return F.coalesce(remainder("doc_id", modulus) == fold, F.lit(False)).alias("held_out")
+
+
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = language_id.predict(docs, language_model(docs))
+    return found.select("doc_id", _held_out(4, 2), "lang_pred", "score", "rejected")
+
+
 def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = quality.train(docs.filter(remainder("doc_id", 3) != 1), table(spark, sf_dir, "labels"))
+    return quality.predict(docs, model).select("doc_id", _held_out(3, 1), "score", "predicted")
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), limit=512)
 
@@ -37,7 +60,9 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_url_filter": op2_url_filter,
     "op3_secret_scan": op3_secret_scan,
+    "op4_language_id": op4_language_id,
     "op5_fingerprints": op5_fingerprints,
+    "op6_quality": op6_quality,
     "op7_token_counts": op7_token_counts,
 }
 
