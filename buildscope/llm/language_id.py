@@ -30,7 +30,8 @@ BUCKETS = 1 << 15
 WIDTH = 16
 SAMPLE_ROWS = 3_000
 SAMPLE_CHARS = 20_000
-EPOCHS = 8
+# Steps of descent at least, however small the sample.
+EPOCHS, STEPS = 8, 800
 RATE = 20.0
 BATCH = 32
 REJECTED_SHARE = 0.001
@@ -86,8 +87,9 @@ def fit(sample: list[tuple[str, str]]) -> Model:
     embedding = rng.normal(0, 0.1, (BUCKETS, WIDTH)).astype(np.float32)
     layer = rng.normal(0, 0.3, (WIDTH, len(labels))).astype(np.float32)
     bias = np.zeros(len(labels), np.float32)
-    for epoch in range(EPOCHS):
-        rate = RATE * (1 - epoch / EPOCHS)
+    epochs = max(EPOCHS, -(-STEPS * BATCH // max(1, len(train))))
+    for epoch in range(epochs):
+        rate = RATE * (1 - epoch / epochs)
         rng.shuffle(train)
         for start in range(0, len(train), BATCH):
             rows = train[start : start + BATCH]

@@ -31,7 +31,8 @@ CHUNK, TAPS, STRIDE = 512, 16, 4
 WIDTH, FILTERS = 8, 24
 SAMPLE_ROWS = 2_400
 SAMPLE_CHARS = 8_000
-EPOCHS = 6
+# Steps of descent at least, however small the sample.
+EPOCHS, STEPS = 6, 400
 RATE, MOMENTUM, DECAY = 0.05, 0.9, 1e-4
 BATCH = 32
 SEED = 5
@@ -110,9 +111,10 @@ def fit(sample: list[tuple[str, int]], positive_share: float | None = None) -> M
     texts = [text.encode() for text, _ in sample]
     offset, order = 0.0, np.arange(len(texts))
     speed = [np.zeros_like(p) for p in model[:4]] + [0.0]
-    for epoch in range(EPOCHS):
+    epochs = max(EPOCHS, -(-STEPS * BATCH // len(order)))
+    for epoch in range(epochs):
         rng.shuffle(order)
-        rate = RATE * (1 - epoch / EPOCHS)
+        rate = RATE * (1 - epoch / epochs)
         for start in range(0, len(order), BATCH):
             rows = order[start : start + BATCH]
             pieces, firsts = cut([texts[i] for i in rows])
