@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from buildscope.llm import fingerprints, language_id, quality, secret_scan, token_counts, url_rules
+from buildscope.llm import fingerprints, language_id, piece_lattice, quality, secret_scan, token_counts, url_rules
 from buildscope.llm.common import table
 from buildscope.llm.samples import remainder
 
@@ -57,6 +57,10 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), limit=512)
 
 
+def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_lattice.summarize(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 QUERIES = {
     "op2_url_filter": op2_url_filter,
     "op3_secret_scan": op3_secret_scan,
@@ -64,6 +68,7 @@ QUERIES = {
     "op5_fingerprints": op5_fingerprints,
     "op6_quality": op6_quality,
     "op7_token_counts": op7_token_counts,
+    "op10_sentencepiece": op10_sentencepiece,
 }
 
 _RULES = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in URL_RULES)
