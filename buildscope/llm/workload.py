@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from buildscope.llm import fingerprints, language_id, piece_lattice, quality, secret_scan, token_counts, url_rules
+from buildscope.llm import fingerprints, language_id, piece_lattice, quality, repeats, secret_scan, token_counts, url_rules
 from buildscope.llm.common import table
 from buildscope.llm.samples import remainder
 
@@ -19,6 +19,10 @@ URL_RULES = [
 ]
 
 
+def op1_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.dedup(table(spark, sf_dir, "documents")).drop("spans")
+
+
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
     return url_rules.judge_urls(table(spark, sf_dir, "pages"), rules)
@@ -62,6 +66,7 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_repeats": op1_repeats,
     "op2_url_filter": op2_url_filter,
     "op3_secret_scan": op3_secret_scan,
     "op4_language_id": op4_language_id,
