@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from buildscope.llm import fingerprints, language_id, piece_lattice, quality, repeats, secret_scan, token_counts, url_rules
+from buildscope.llm import decontaminate, fingerprints, language_id, piece_lattice, quality, repeats, secret_scan, token_counts, url_rules
 from buildscope.llm.common import table
 from buildscope.llm.samples import remainder
 
@@ -61,6 +61,10 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), limit=512)
 
 
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_lattice.summarize(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
@@ -73,6 +77,7 @@ QUERIES = {
     "op5_fingerprints": op5_fingerprints,
     "op6_quality": op6_quality,
     "op7_token_counts": op7_token_counts,
+    "op9_decontaminate": op9_decontaminate,
     "op10_sentencepiece": op10_sentencepiece,
 }
 
