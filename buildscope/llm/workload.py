@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from buildscope.llm import decontaminate, fingerprints, language_id, piece_lattice, quality, repeats, secret_scan, token_counts, url_rules
+from buildscope.llm import decontaminate, fingerprints, jaccard_join, language_id, piece_lattice, quality, repeats, secret_scan, token_counts, url_rules
 from buildscope.llm.common import table
 from buildscope.llm.samples import remainder
 
@@ -61,6 +61,11 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), limit=512)
 
 
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = jaccard_join.join(table(spark, sf_dir, "documents"), size=4, least=85)
+    return found.select("doc_id", "n_shingles", "component_id")
+
+
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -77,6 +82,7 @@ QUERIES = {
     "op5_fingerprints": op5_fingerprints,
     "op6_quality": op6_quality,
     "op7_token_counts": op7_token_counts,
+    "op8_jaccard_join": op8_jaccard_join,
     "op9_decontaminate": op9_decontaminate,
     "op10_sentencepiece": op10_sentencepiece,
 }
