@@ -20,15 +20,6 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def spread_rows(df: DataFrame) -> DataFrame:
-    """Deal the rows of ``df`` evenly when its files give fewer splits than the session's shuffles have.
-
-    For operators whose work per byte far exceeds the cost of moving the byte.
-    """
-    wanted = partitions(df.sparkSession)
-    return df.repartition(wanted) if df.rdd.getNumPartitions() < wanted // 2 else df
-
-
 def sha256_of(text: Column) -> Column:
     return F.sha2(text.cast("binary"), 256)
 

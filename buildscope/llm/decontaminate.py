@@ -25,10 +25,11 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from buildscope.llm.common import chunks, spread_rows
+from buildscope.llm.common import chunks
 
 Q = 10
 RATE = 0.06
@@ -247,23 +248,40 @@ def find_leaks(
     docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text"
 ) -> DataFrame:
     """id, item id, start, end (code points, end exclusive) and edit distance of every leak."""
-    spark = docs.sparkSession
-    items = benchmark.select(F.col(item_col).alias("item"), F.col(item_text).alias("text")).dropna(subset=["text"])
-    size = items.agg(F.sum(F.length("text"))).first()[0] or 0
-    slices = max(1, -(-size // SLICE_CHARS))
     id_type = docs.schema[id_col].dataType.simpleString()
-    item_type = items.schema["item"].dataType.simpleString()
+    item_type = benchmark.schema[item_col].dataType.simpleString()
     schema = f"id {id_type}, item {item_type}, start long, end long, distance long"
-    rows = spread_rows(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter(F.length(text_col) >= Q))
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter(F.length("text") >= Q)
     out = None
-    for number in range(slices):
-        part = items.filter(F.pmod(F.xxhash64("item", "text"), F.lit(slices)) == number)
-        shared = spark.sparkContext.broadcast(build_index(sorted(((r.item, r.text) for r in part.collect()), key=repr)))
+    for shared in _indexes(benchmark, item_col, item_text):
         found = rows.mapInArrow(lambda batches, shared=shared: _search(batches, shared.value, schema), schema)
         out = found if out is None else out.unionByName(found)
     return out.withColumnsRenamed({"id": id_col, "item": item_col})
 
 
+def drop_leaking(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
+    """The rows of ``docs`` that leak no item, unchanged."""
+    for shared in _indexes(benchmark, item_col, item_text):
+
+        def keep(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            for batch in chunks(batches, text_col):
+                leaking = {f[0] for f in leaks_in([t or "" for t in batch.column(text_col).to_pylist()], shared.value)}
+                yield batch.filter(pa.array([i not in leaking for i in range(batch.num_rows)], pa.bool_()))
+
+        docs = docs.mapInArrow(keep, docs.schema)
+    return docs
+
+
+def _indexes(benchmark: DataFrame, item_col: str, item_text: str) -> Iterator[Broadcast]:
+    """Indexes of the benchmark, of about ``SLICE_CHARS`` characters each, on all executors."""
+    items = benchmark.select(F.col(item_col).alias("item"), F.col(item_text).alias("text")).dropna(subset=["text"])
+    size = items.agg(F.sum(F.length("text"))).first()[0] or 0
+    slices = max(1, -(-size // SLICE_CHARS))
+    for number in range(slices):
+        part = items.filter(F.pmod(F.xxhash64("item", "text"), F.lit(slices)) == number)
+        yield benchmark.sparkSession.sparkContext.broadcast(build_index(sorted(((r.item, r.text) for r in part.collect()), key=repr)))
+
+
 def _search(batches: Iterator[pa.RecordBatch], index: Index, schema: str) -> Iterator[pa.RecordBatch]:
     for batch in chunks(batches):
         found = leaks_in([t or "" for t in batch.column("text").to_pylist()], index)

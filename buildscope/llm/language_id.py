@@ -19,10 +19,10 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from buildscope.llm.common import byte_texts, chunks, spread_rows
+from buildscope.llm.common import byte_texts, chunks
 from buildscope.llm.samples import labelled_sample
 
 GRAMS = (3, 4)
@@ -142,25 +142,45 @@ def train(rows: DataFrame, *, label_col: str = "lang", text_col: str = "text", m
     return fit(labelled_sample(rows, label_col, text_col, most_rows, SAMPLE_CHARS))
 
 
+def _lettered(text_col: str) -> Column:
+    return F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False))
+
+
+def _judged(text: pa.Array, lettered: pa.Array, model: Model) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Label, score and whether it is rejected, of each text."""
+    known = np.array(lettered.to_pylist(), bool) & bool(model.labels)
+    if model.labels:
+        chances = softmax(logits_of(byte_texts(text), model) / model.temperature)
+        best, score = chances.argmax(axis=1), chances.max(axis=1)
+    else:
+        best, score = np.zeros(len(known), int), np.zeros(len(known))
+    score = np.where(known, np.minimum(score, 1.0), 0.0)
+    return [model.labels[b] if k else UNKNOWN for b, k in zip(best, known)], score, ~known | (score < model.threshold)
+
+
+def keep_known(docs: DataFrame, model: Model, *, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose language is not rejected, unchanged."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    flag = "_lettered" + "_" * max(map(len, docs.columns))  # longer than any column
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in chunks(batches, text_col):
+            _, _, rejected = _judged(batch.column(text_col), batch.column(flag), shared.value)
+            yield batch.filter(pa.array(~rejected)).select(batch.schema.names[:-1])
+
+    return docs.withColumn(flag, _lettered(text_col)).mapInArrow(keep, docs.schema)
+
+
 def predict(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, lang_pred, score and rejected, one row per row of ``docs``."""
     id_type = docs.schema[id_col].dataType.simpleString()
     shared = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS rows, whatever the size of the input
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
         for batch in chunks(batches):
-            known = np.array(batch.column("lettered").to_pylist(), bool) & bool(model.labels)
-            if model.labels:
-                chances = softmax(logits_of(byte_texts(batch.column("text")), model) / model.temperature)
-                best, score = chances.argmax(axis=1), chances.max(axis=1)
-            else:
-                best, score = np.zeros(len(known), int), np.zeros(len(known))
-            names = [model.labels[b] if k else UNKNOWN for b, k in zip(best, known)]
-            score = np.where(known, np.minimum(score, 1.0), 0.0)
-            columns = [batch.column("id"), pa.array(names, pa.string()), pa.array(score, pa.float64()), pa.array(~known | (score < model.threshold), pa.bool_())]
+            names, score, rejected = _judged(batch.column("text"), batch.column("lettered"), shared.value)
+            columns = [batch.column("id"), pa.array(names, pa.string()), pa.array(score, pa.float64()), pa.array(rejected, pa.bool_())]
             yield pa.RecordBatch.from_arrays(columns, ["id", "lang_pred", "score", "rejected"])
 
-    lettered = F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False))
-    rows = spread_rows(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), lettered.alias("lettered")))
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), _lettered(text_col).alias("lettered"))
     return rows.mapInArrow(judge, f"id {id_type}, lang_pred string, score double, rejected boolean").withColumnRenamed("id", id_col)

@@ -34,7 +34,7 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from buildscope.llm.common import Remembered, chunks, spread_rows
+from buildscope.llm.common import Remembered, chunks
 
 SPACE = "▁"
 UNKNOWN_COST = 10.0
@@ -254,7 +254,7 @@ def _mapped(docs: DataFrame, id_col: str, text_col: str, schema: str, judge) ->
             names, columns = judge(batch.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column("id"), *columns], ["id", *names])
 
-    rows = spread_rows(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")))
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(run, f"id {id_type}, {schema}").withColumnRenamed("id", id_col)
 
 

@@ -24,7 +24,7 @@ from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from buildscope.llm.common import byte_texts, chunks, spread_rows
+from buildscope.llm.common import byte_texts, chunks
 from buildscope.llm.samples import labelled_sample
 
 CHUNK, TAPS, STRIDE = 512, 16, 4
@@ -172,5 +172,5 @@ def predict(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col:
             columns = [batch.column("id"), pa.array(score, pa.float64()), pa.array((score >= 0.5).astype(np.int32), pa.int32())]
             yield pa.RecordBatch.from_arrays(columns, ["id", "score", "predicted"])
 
-    rows = spread_rows(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")))
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(judge, f"id {id_type}, score double, predicted int").withColumnRenamed("id", id_col)

@@ -20,7 +20,6 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from buildscope.llm.common import spread_rows
 
 
 class Kind(NamedTuple):
@@ -156,7 +155,7 @@ def with_spans(docs: DataFrame, text: Column) -> DataFrame:
 
 def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, matches per kind, digest of the base spans and all spans as text, one row per row of ``docs``."""
-    rows = spread_rows(docs.select(F.col(id_col), F.col(text_col).alias("_read")))
+    rows = docs.select(F.col(id_col), F.col(text_col).alias("_read"))
     found = with_spans(rows, F.col("_read"))
     return found.select(
         id_col,

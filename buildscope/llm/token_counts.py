@@ -21,7 +21,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from buildscope.llm.common import Remembered, chunks, spread_rows
+from buildscope.llm.common import Remembered, chunks
 
 # How byte-level pre-tokenizers cut a text: fixed value of the tokenizer's format.
 PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -221,7 +221,7 @@ def count_tokens(docs: DataFrame, tokenizer: str, limit: int, *, id_col: str = "
             columns = [batch.column("id"), pa.array([len(t.encode()) for t in texts], pa.int64()), pa.array(tokens, pa.int64()), pa.array([n > limit for n in tokens], pa.bool_())]
             yield pa.RecordBatch.from_arrays(columns, ["id", "n_bytes", "n_tokens", "over_limit"])
 
-    rows = spread_rows(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")))
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     counted = rows.mapInArrow(count, f"id {id_type}, n_bytes long, n_tokens long, over_limit boolean")
     return counted.withColumnRenamed("id", id_col)
 
@@ -237,5 +237,5 @@ def truncate(docs: DataFrame, tokenizer: str, budget: int, *, id_col: str = "doc
             kept = [t[: table.fitting(t, budget)] for t in texts]
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(kept, pa.string())], ["id", "text"])
 
-    rows = spread_rows(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")))
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(cut, f"id {id_type}, text string").withColumnRenamed("id", id_col)
