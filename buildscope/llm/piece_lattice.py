@@ -20,6 +20,7 @@ the id and the results come back, so other columns cannot clash.
 
 from __future__ import annotations
 
+import gc
 import heapq
 from array import array
 from collections.abc import Iterator
@@ -39,7 +40,7 @@ from buildscope.llm.common import Remembered, chunks
 SPACE = "▁"
 UNKNOWN_COST = 10.0
 # Parts and words that a worker remembers.
-REMEMBERED = 250_000
+REMEMBERED = 400_000
 WORDS = regex.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 PARTS = regex.compile(rf"{SPACE}*\p{{L}}+|{SPACE}*[^\p{{L}}{SPACE}]+|{SPACE}+")
 LETTER = regex.compile(r"\p{L}")
@@ -49,6 +50,8 @@ NEVER, ALONE = float("-inf"), float("inf")
 
 #: Length in characters, ids and score of a piece.
 Arc = tuple[int, tuple[int, ...], float]
+#: Score and ids of the best segmentation, and what the second costs.
+Best = tuple[float, tuple[int, ...], float]
 
 
 class Segmentation(NamedTuple):
@@ -87,7 +90,7 @@ class Lattice:
         # Whether the lattice falls apart between letters and other signs, too.
         self.apart = self.by_word and all(a == SPACE or bool(LETTER.match(a)) == bool(LETTER.match(b)) for a, b in joined)
         self.text = [p.replace(SPACE, " ") for p in self.pieces]
-        self.parts = Remembered(self.search, REMEMBERED)
+        self.parts = Remembered(self.part_best, REMEMBERED)
         self.words = Remembered(lambda word: self.word_best(SPACE + word), REMEMBERED)
 
     def arcs(self, part: str) -> tuple[list[float], list[list[Arc]]]:
@@ -171,24 +174,60 @@ class Lattice:
             best = heapq.nsmallest(self.nbest, ways, key=lambda s: -s.score)
         return [_joined(b, run) for b in best]
 
-    def cut(self, word: str) -> list[list[Segmentation]]:
-        """N best of each part of a string; parts are of letters or of other signs, with the space marks before them."""
-        if self.apart:
-            return [self.parts[part] for part in PARTS.findall(word)]
-        return [self.parts[word]]
+    def cut(self, word: str) -> list[str]:
+        """Parts of letters or of other signs, with the space marks before them."""
+        return PARTS.findall(word) if self.apart else [word]
 
-    def word_best(self, word: str) -> tuple[float, tuple[int, ...], float]:
-        """Score and ids of the best segmentation, and what the second costs."""
+    def part_best(self, part: str) -> Best:
+        """Score and ids of the best segmentation, and what the second costs.
+
+        The search of ``search`` up to its first result. An open entry is worth exactly the best segmentation that it stands for, so
+        the second's score is known then, without following it.
+        """
+        if not self.alone.issuperset(part):
+            first, *others = self.search(part)
+            return first.score, first.ids, first.score - others[0].score if others else ALONE
+        found = list(self.finder.iter(part))
+        forward = [0.0] + [NEVER] * len(part)
+        for last, (length, _, score) in found:
+            total = forward[last + 1 - length] + score
+            if total > forward[last + 1]:
+                forward[last + 1] = total
+        path: list[tuple[int, ...]] = []
+        place, gathered, second, high = len(part), 0.0, NEVER, len(found)
+        while place:
+            while found[high - 1][0] >= place:
+                high -= 1
+            low = high - 1
+            while low and found[low - 1][0] == place - 1:
+                low -= 1
+            best, highest = None, NEVER
+            for _, arc in found[low:high]:
+                total = forward[place - arc[0]] + arc[2]
+                if total > highest:
+                    if best is not None and gathered + highest > second:
+                        second = gathered + highest
+                    best, highest = arc, total
+                elif gathered + total > second:
+                    second = gathered + total
+            place -= best[0]
+            gathered += best[2]
+            path.append(best[1])
+            high = low
+        path.reverse()
+        return gathered, tuple(chain.from_iterable(path)), gathered - second if second > NEVER else ALONE
+
+    def word_best(self, word: str) -> Best:
+        """Score and ids of the best segmentation of some parts, and what the second costs."""
         parts = self.cut(word)
         if len(parts) == 1:
-            first, *others = parts[0]
-            return first.score, first.ids, first.score - others[0].score if others else ALONE
+            return self.parts[parts[0]]
         score, ids, gap = 0.0, (), ALONE
-        for first, *others in parts:
-            score += first.score
-            ids += first.ids
-            if others and first.score - others[0].score < gap:
-                gap = first.score - others[0].score
+        for own_score, own_ids, own_gap in map(self.parts.__getitem__, parts):
+            score += own_score
+            ids += own_ids
+            if own_gap < gap:
+                gap = own_gap
         return score, ids, gap
 
     def best(self, text: str) -> tuple[float, array, float | None]:
@@ -208,7 +247,7 @@ class Lattice:
         """The N best segmentations of a whole text."""
         normal = self.normalize(text)
         words = WORDS.findall(normal) if self.by_word else [normal] if normal else []
-        return self.merged([part for word in words for part in self.cut(word)])
+        return self.merged([self.search(part) for word in words for part in self.cut(word)])
 
     def decode(self, ids) -> str:
         if self.bytes.keys().isdisjoint(ids):
@@ -250,6 +289,9 @@ def _mapped(docs: DataFrame, id_col: str, text_col: str, schema: str, judge) ->
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # What a worker remembers are many small tuples without cycles; looking for cycles in them takes a fifth of the time.
+        gc.freeze()
+        gc.set_threshold(200_000, 20, 100)
         for batch in chunks(batches):
             names, columns = judge(batch.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column("id"), *columns], ["id", *names])
