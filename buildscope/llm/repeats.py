@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from buildscope.llm.common import byte_texts, chunks, partitions
+from buildscope.plans.tables import materialize, release
 
 WINDOW, DIGIT = 200, 100
 # Offsets of an anchor in its windows: 0 to REACH.
@@ -285,23 +286,34 @@ def joined(starts: list[int], ends: list[int], size: int) -> list[tuple[int, int
 
 
 def repeated_spans(texts: DataFrame) -> DataFrame:
-    """Spans of repeated windows (h1, h2, start, end) of distinct texts (h1, h2, text)."""
+    """Starts and ends of repeated windows, joined to spans as far as known, for distinct texts (h1, h2, text)."""
     parts = partitions(texts.sparkSession)
     found = texts.mapInArrow(find_anchors, "digit long, around long, h1 long, hp long")
     groups = (
         found.groupBy("digit").agg(F.count(F.lit(1)).alias("n"), F.min("around").alias("least"), F.max("around").alias("most"))
         .filter("n > 1").select("digit", "n", (F.col("least") == F.col("most")).alias("agree"))
     )
-    shared = found.select("digit", "h1", "hp").join(groups, "digit")
-    shared = shared.select("digit", "n", "agree", "h1", F.shiftright("hp", 32).cast("int").alias("h2"), F.col("hp").bitwiseAND(F.lit(0xFFFFFFFF)).alias("place"))
-    agreed = shared.filter("agree").select("h1", "h2", (F.col("place") - REACH).alias("start"), (F.col("place") + WINDOW).alias("end"))
+    shared = materialize(found.select("digit", "h1", "hp").join(groups, "digit"), "shared-digits")
+    places = shared.select("digit", "n", "agree", "h1", F.shiftright("hp", 32).cast("int").alias("h2"), F.col("hp").bitwiseAND(F.lit(0xFFFFFFFF)).alias("place"))
+    agreed = places.filter("agree").select("h1", "h2", (F.col("place") - REACH).alias("start"), (F.col("place") + WINDOW).alias("end"))
     # The places of one text are one row, bounded by its length.
-    open_ = shared.filter("NOT agree").groupBy("h1", "h2").agg(F.collect_list(F.struct("digit", "n", "place")).alias("places"))
+    open_ = places.filter("NOT agree").groupBy("h1", "h2").agg(F.collect_list(F.struct("digit", "n", "place")).alias("places"))
     cut = texts.join(open_, ["h1", "h2"]).mapInArrow(cut_surroundings, "digit long, n long, h1 long, h2 int, place long, bytes binary, low int, high int")
+    cut = materialize(cut, "surroundings")
     small = cut.filter(F.col("n") <= GROUP).repartition(parts, "digit").sortWithinPartitions("digit")
-    finished = small.mapInArrow(finish_groups, "h1 long, h2 int, start long, end long")
-
-    ranges = cut.filter(F.col("n") > GROUP).mapInArrow(
+    found = agreed.unionByName(small.mapInArrow(finish_groups, "h1 long, h2 int, start long, end long"))
+    large = cut.filter(F.col("n") > GROUP)
+    if not large.isEmpty():
+        found = found.unionByName(_split_spans(large))
+    # A row for each text, bounded by its length.
+    spans = materialize(found.groupBy("h1", "h2").agg(F.collect_list("start").alias("starts"), F.collect_list("end").alias("ends")), "spans")
+    release(shared, cut)
+    return spans
+
+
+def _split_spans(large: DataFrame) -> DataFrame:
+    """Spans of repeated windows of groups too large for one task: by ranges of offsets, then by window."""
+    ranges = large.mapInArrow(
         split_ranges, "common long, common2 long, all long, h1 long, h2 int, place long, first int, last int, digit long, bytes binary, low int, high int"
     )
     counted = ranges.groupBy("common", "common2").agg(F.count(F.lit(1)).alias("n"), F.min("all").alias("least"), F.max("all").alias("most")).filter("n > 1")
@@ -311,7 +323,7 @@ def repeated_spans(texts: DataFrame) -> DataFrame:
     windows = windows.mapInArrow(list_windows, "w1 long, w2 long, h1 long, h2 int, start long")
     twice = windows.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("w1", "w2")
     single = windows.join(twice, ["w1", "w2"], "left_semi").select("h1", "h2", "start", (F.col("start") + WINDOW).alias("end"))
-    return agreed.unionByName(finished).unionByName(settled).unionByName(single)
+    return settled.unionByName(single)
 
 
 def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -320,7 +332,7 @@ def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") ->
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("h1"), F.hash(text).alias("h2"))
     copies = rows.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("copies"))
     texts = docs.select(F.xxhash64(text).alias("h1"), F.hash(text).alias("h2"), text.alias("text")).dropDuplicates(["h1", "h2"])
-    spans = repeated_spans(texts).groupBy("h1", "h2").agg(F.collect_list("start").alias("starts"), F.collect_list("end").alias("ends"))
+    spans = repeated_spans(texts)
     cleaned = (
         texts.join(copies, ["h1", "h2"]).join(spans, ["h1", "h2"], "left")
         .mapInArrow(remove_spans, "h1 long, h2 int, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:long,end:long>>")
