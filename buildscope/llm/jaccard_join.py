@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -32,10 +33,11 @@ from pyspark.sql import functions as F
 from buildscope.llm.common import byte_texts, chunks, partitions
 from buildscope.llm.components import components
 from buildscope.llm.repeats import BASES, Rolling, mixed
-from buildscope.plans.tables import materialize
+from buildscope.plans.tables import materialize, release
 
-BUCKETS = 1 << 20
-BUCKETS_PER_ROW = 1 << 12
+BUCKETS = 1 << 22
+BUCKET_SHIFT = np.uint64(64 - 22)
+BUCKETS_PER_ROW = 1 << 14
 PARTS = 16
 STAR_ROUNDS = 3
 BLOCK = 2_000
@@ -82,7 +84,7 @@ def bucket_counts(docs: DataFrame, size: int) -> np.ndarray:
         counts = np.zeros(BUCKETS, np.int64)
         for batch in chunks(batches):
             tokens = np.concatenate([np.zeros(0, np.uint64), *shingle_sets(byte_texts(batch.column("text")), size)])
-            counts += np.bincount((tokens >> np.uint64(44)).astype(np.int64), minlength=BUCKETS)
+            counts += np.bincount((tokens >> BUCKET_SHIFT).astype(np.int64), minlength=BUCKETS)
         rows = counts.astype(np.int32).reshape(-1, BUCKETS_PER_ROW)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(rows), dtype=np.int32)), pa.array([r.tobytes() for r in rows], pa.binary())], ["row", "counts"])
 
@@ -90,15 +92,15 @@ def bucket_counts(docs: DataFrame, size: int) -> np.ndarray:
         totals: dict[int, np.ndarray] = {}
         for batch in batches:
             for row, counts in zip(batch.column("row").to_pylist(), batch.column("counts").to_pylist()):
-                totals[row] = totals.get(row, 0) + np.frombuffer(counts, np.int32).astype(np.int64)
+                totals[row] = totals.get(row, 0) + np.frombuffer(counts, np.int32)
         yield pa.RecordBatch.from_arrays([pa.array(list(totals), pa.int32()), pa.array([t.tobytes() for t in totals.values()], pa.binary())], ["row", "counts"])
 
     # A few tasks for each core, so that there are not more partial sketches than that.
     parts = docs.coalesce(4 * spark.sparkContext.defaultParallelism).mapInArrow(count, "row int, counts binary")
     summed = parts.repartition(partitions(spark), "row").mapInArrow(add, "row int, counts binary")
-    out = np.zeros(BUCKETS, np.int64)
+    out = np.zeros(BUCKETS, np.int32)
     for row in summed.collect():  # BUCKETS numbers, whatever the size of the input
-        out[row.row * BUCKETS_PER_ROW : (row.row + 1) * BUCKETS_PER_ROW] = np.frombuffer(bytes(row.counts), np.int64)
+        out[row.row * BUCKETS_PER_ROW : (row.row + 1) * BUCKETS_PER_ROW] = np.frombuffer(bytes(row.counts), np.int32)
     return out
 
 
@@ -124,7 +126,7 @@ def describe(docs: DataFrame, size: int, least: int) -> DataFrame:
             sets = shingle_sets(byte_texts(batch.column("text")), size)
             classes, prefixes, parts = [], [], []
             for tokens in sets:
-                order = np.lexsort((tokens, counts[(tokens >> np.uint64(44)).astype(np.int64)]))
+                order = np.lexsort((tokens, counts[(tokens >> BUCKET_SHIFT).astype(np.int64)]))
                 classes.append(class_of(tokens))
                 prefixes.append(tokens[order[: prefix_size(len(tokens), least) if len(tokens) else 0]].view(np.int64))
                 parts.append(np.bincount((tokens & np.uint64(PARTS - 1)).astype(np.int64), minlength=PARTS).astype(np.int32))
@@ -223,9 +225,9 @@ def _cross(rows: list[dict], least: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([int(p[k]) for p in out], pa.int64()) for k in (0, 1)], ["a", "b"])
 
 
-def candidate_sets(docs: DataFrame, described: DataFrame, groups: DataFrame, size: int) -> DataFrame:
-    """Class and sorted n-grams, of the classes in prefix groups; one text of each is read again."""
-    texts = described.join(groups.select("class").distinct(), "class", "left_semi").groupBy("class").agg(F.min("h1").alias("h1"))
+def sets_of(docs: DataFrame, described: DataFrame, classes: DataFrame, size: int) -> DataFrame:
+    """Class and sorted n-grams of some classes; one text of each is read again."""
+    texts = described.filter("n > 0").join(classes, "class", "left_semi").groupBy("class").agg(F.min("h1").alias("h1"))
     texts = materialize(texts, "candidates")
     bits = texts.select(F.pmod("h1", F.lit(FILTER_BITS)).alias("bit")).select(F.shiftright("bit", 6).cast("int").alias("word"), F.col("bit").bitwiseAND(F.lit(63)).cast("int").alias("at"))
     words = bits.groupBy("word").agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("at"))).alias("bits")).collect()
@@ -245,7 +247,9 @@ def candidate_sets(docs: DataFrame, described: DataFrame, groups: DataFrame, siz
                 yield pa.RecordBatch.from_arrays(columns, ["h1", "class", "tokens"])
 
     found = docs.select(F.xxhash64("text").alias("h1"), "text").mapInArrow(run, "h1 long, class long, tokens binary")
-    return found.join(texts, ["h1", "class"], "left_semi").dropDuplicates(["class"]).select("class", "tokens")
+    sets = materialize(found.join(texts, ["h1", "class"], "left_semi").dropDuplicates(["class"]).select("class", "tokens"), "candidate-sets")
+    release(texts)
+    return sets
 
 
 def verified(pairs: DataFrame, sets: DataFrame, least: int) -> DataFrame:
@@ -267,21 +271,27 @@ def verified(pairs: DataFrame, sets: DataFrame, least: int) -> DataFrame:
 def class_labels(docs: DataFrame, described: DataFrame, size: int, least: int) -> DataFrame | None:
     """``node`` (a class that links with another) and ``label``; None if there is none."""
     groups = materialize(prefix_groups(described), "prefix-groups")
-    if groups.isEmpty():
-        return None
-    sets = materialize(candidate_sets(docs, described, groups, size), "candidate-sets")
-    judged, labels = None, None
+    judged: list[DataFrame] = []
+    labels = None
     for number in range(STAR_ROUNDS + 1):
         members = groups.withColumn("label", F.col("class"))
         if labels is not None:
             members = groups.join(labels, groups["class"] == labels["node"], "left").select(*groups.columns, F.coalesce("label", "class").alias("label"))
         pairs = star_pairs(members, least, number) if number < STAR_ROUNDS else left_pairs(members, least)
-        if judged is not None:
-            pairs = pairs.join(judged, ["a", "b"], "left_anti")
-        now = materialize(verified(pairs, sets, least), "verified")
-        judged = now if judged is None else judged.unionByName(now)
-        if not now.filter("linked").isEmpty():
-            labels = materialize(components(judged.filter("linked").select("a", "b")), "labels")
+        for known in judged:
+            pairs = pairs.join(known, ["a", "b"], "left_anti")
+        pairs = materialize(pairs, "pairs")
+        if pairs.isEmpty():
+            continue
+        classes = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct()
+        sets = sets_of(docs, described, classes, size)
+        judged.append(materialize(verified(pairs, sets, least), "verified"))
+        release(pairs, sets)
+        if not judged[-1].filter("linked").isEmpty():
+            links = [known.filter("linked").select("a", "b") for known in judged]
+            release(labels)
+            labels = materialize(components(reduce(DataFrame.unionByName, links)), "labels")
+    release(groups, *judged)
     return labels
 
 
