@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from buildscope.llm.common import byte_texts, chunks
-from buildscope.llm.samples import labelled_sample
+from buildscope.llm.samples import labelled_sample, sampled_labels
 
 CHUNK, TAPS, STRIDE = 512, 16, 4
 WIDTH, FILTERS = 8, 24
@@ -105,7 +105,7 @@ def fit(sample: list[tuple[str, int]], positive_share: float | None = None) -> M
     labels = np.array([label for _, label in sample], np.float32)
     drawn = float(labels.mean()) if len(labels) else 0.5
     share = drawn if positive_share is None else positive_share
-    if not 0 < drawn < 1:
+    if not len(labels) or not 0 < drawn < 1:
         sure = np.log(max(share, 1e-6) / max(1 - share, 1e-6)) if len(labels) else 0.0
         return model._replace(unit=np.zeros(2 * FILTERS, np.float32), offset=float(sure))
     texts = [text.encode() for text, _ in sample]
@@ -157,7 +157,9 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     """Fit on at most ``most_rows`` labelled texts of at most ``SAMPLE_CHARS`` characters; all labels are counted."""
     labels = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).filter("label IN (0, 1)")
     share = labels.agg(F.avg("label")).first()[0]
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(labels, "id")
+    # At most 4 * most_rows rows go to the documents, so no text is shuffled for the join.
+    chosen = F.broadcast(sampled_labels(labels, most_rows))
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(chosen, "id")
     return fit(labelled_sample(rows, "label", "text", most_rows, SAMPLE_CHARS), share)
 
 

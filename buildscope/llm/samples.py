@@ -13,6 +13,16 @@ def remainder(id_col: str, modulus: int):
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % modulus
 
 
+def sampled_labels(labels: DataFrame, most_rows: int) -> DataFrame:
+    """Of distinct (id, label) rows about twice ``most_rows``, as many of each label, by hash of the id; never over four times as many."""
+    rows = labels.dropna().distinct().select("*", F.pmod(F.xxhash64("id"), F.lit(HASHES)).alias("hash"))
+    sizes = {r.label: r.n for r in rows.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    wanted = F.lit(False)
+    for value, n in sizes.items():
+        wanted = wanted | ((F.col("label") == F.lit(value)) & (F.col("hash") < int(min(1.0, 2 * most_rows / len(sizes) / n) * HASHES)))
+    return rows.filter(wanted).select("id", "label").limit(4 * most_rows)
+
+
 def labelled_sample(rows: DataFrame, label: str, text: str, most_rows: int, most_chars: int) -> list[tuple[str, object]]:
     """At most ``most_rows`` pairs of text and label, about as many of each label, chosen by hash of the text.
 
