@@ -167,7 +167,8 @@ def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") ->
 
 def redact(docs: DataFrame, *, text_col: str = "text", mark: str = "[secret]") -> DataFrame:
     """``docs`` with every span of its text replaced by ``mark``; overlapping spans by one."""
-    marked = with_spans(docs.withColumn("_read", F.col(text_col)), F.col("_read"))
+    rows = docs.select(F.struct(*[docs[c].alias(str(i)) for i, c in enumerate(docs.columns)]).alias("_row"), F.col(text_col).alias("_read"))
+    marked = with_spans(rows, F.col("_read"))
     empty = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts"))
 
     def cut(state: Column, s: Column) -> Column:
@@ -177,4 +178,4 @@ def redact(docs: DataFrame, *, text_col: str = "text", mark: str = "[secret]") -
 
     whole = F.aggregate("_found.spans", empty, cut, lambda s: F.concat(F.array_join(s["parts"], ""), F.col("_read").substr(s["at"] + F.lit(1), F.length("_read"))))
     text = F.when(F.size("_found.spans") > 0, whole).otherwise(F.col("_read"))
-    return marked.withColumn(text_col, text).select(*docs.columns)
+    return marked.select(*[(text if c == text_col else F.col("_row").getField(str(i))).alias(c) for i, c in enumerate(docs.columns)])

@@ -1,0 +1,97 @@
+"""Stages of the pipeline, each against a plain version on its own input."""
+
+import public_tokenizers
+import pytest
+import sentencepiece
+from test_decontaminate import least_distance, plain_text
+from test_jaccard_join import plain as linked
+from test_secret_scan import plain as spans_of
+
+import corpus_pipeline
+from buildscope.llm import decontaminate
+
+SF = "/root/testdata/sf0.001"
+STAGES = dict(corpus_pipeline.STAGES)
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.read.parquet(f"{SF}/documents.parquet")
+
+
+def keys(df):
+    return sorted(r.doc_id for r in df.select("doc_id").collect())
+
+
+def test_stages_are_registered_in_order():
+    assert [name for name, _ in corpus_pipeline.STAGES] == ["language_id", "jaccard_join", "decontaminate", "secret_scan", "sentencepiece"]
+
+
+def test_language_stage_keeps_clean_documents(spark, docs):
+    odd = spark.createDataFrame([(9001, "12345 67890 $$$", None, None, 15), (9002, None, "en", None, 0)], docs.schema)
+    kept = STAGES["language_id"](spark, docs.unionByName(odd), SF)
+    assert kept.schema == docs.schema
+    assert keys(kept) == keys(docs)
+
+
+def test_near_duplicate_stage(spark, docs):
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    found = linked(rows, corpus_pipeline.WORDS, corpus_pipeline.SIMILARITY)
+    kept = STAGES["jaccard_join"](spark, docs, SF)
+    assert kept.columns == docs.columns
+    assert keys(kept) == sorted({c for _, _, c in found})
+
+
+def test_near_duplicates_with_odd_ids(spark, docs):
+    text = "one two three four five six seven"
+    rows = [(1, text, "a"), (1, text, "b"), (None, text, "c"), (None, "other words are here now", "d"), (2, "", "e"), (2, "", "f"), (2, None, "g")]
+    odd = spark.createDataFrame([(k, t, x, x, 0) for k, t, x in rows], docs.schema)
+    kept = STAGES["jaccard_join"](spark, odd, SF).collect()
+    assert sorted(r.lang for r in kept if r.lang not in "ab") == ["d", "e", "f", "g"] and sum(r.lang in "ab" for r in kept) == 1
+
+
+def test_benchmark_stage(spark, docs):
+    items = [plain_text(r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    leaking = {r.doc_id for r in docs.collect() if any(i in plain_text(r.text) for i in items)}
+    kept = keys(STAGES["decontaminate"](spark, docs, SF))
+    assert leaking and not leaking & set(kept)
+    for row in docs.filter(~docs.doc_id.isin(kept)).collect():
+        assert any(least_distance(i, plain_text(row.text)) <= decontaminate.edit_budget(len(i)) for i in items)
+
+
+def test_secret_stage_changes_only_secrets(spark, docs):
+    clean = {r.doc_id: r for r in STAGES["secret_scan"](spark, docs, SF).collect()}
+    changed = 0
+    for row in docs.collect():
+        if spans_of(row.text)[4]:
+            changed += 1
+            assert "[secret]" in clean[row.doc_id].text and not spans_of(clean[row.doc_id].text)[4]
+            assert clean[row.doc_id].n_chars == len(clean[row.doc_id].text)
+        else:
+            assert clean[row.doc_id].text == row.text
+    assert changed
+
+
+def test_run_ends_in_pieces_of_what_was_kept(spark):
+    found = corpus_pipeline.run(spark, SF).collect()
+    library = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    assert len({r.doc_id for r in found}) == len(found) > 100
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    for row in found:
+        assert row.n_pieces == len(row.ids)
+        text = library.decode(row.ids)
+        assert text == texts[row.doc_id] or "[secret]" in text
+
+
+def test_extra_columns_pass_through_every_filtering_stage(spark, docs):
+    names = ["key", "text_hash", "_row", "_found", "_lettered", "h1", "label"]
+    wide = docs.limit(40)
+    for name in names:
+        wide = wide.withColumn(name, wide.doc_id)
+    wide = spark.createDataFrame(wide.collect(), wide.schema)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        kept = stage(spark, wide, SF)
+        assert kept.columns == wide.columns
+        assert all(r.label == r.key == r.doc_id for r in kept.collect())
+        assert stage(spark, wide.limit(0), SF).count() == 0
+    assert corpus_pipeline.encoded(spark, wide, SF).count() == 40
