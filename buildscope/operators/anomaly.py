@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from buildscope.operators.portfolio import CONTAMINATION_BANDS, CONTAMINATION_SMALL, contamination
 from buildscope.plans.quantiles import exact_quantiles, quantile_name
-from buildscope.plans.tables import attach, materialize
+from buildscope.plans.tables import materialize
 from buildscope.schemas import ANOMALIES
 
 
@@ -70,7 +70,7 @@ def flag_anomalies(
     if limits is None:
         limits = score_limits(scored, share, sizes)
     current = materialize(score_ranges(scored).join(limits, "model_id"), "score-limits")
-    joined = attach(scored, current, ["model_id"], "inner")
+    joined = scored.join(current, "model_id")
     return joined.select(
         *scored.columns,
         (F.col("anomaly_score") < F.col("offset")).alias("is_anomaly"),

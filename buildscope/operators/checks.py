@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from buildscope.functions.columns import blank, distance, fixed_point
-from buildscope.plans.tables import attach, materialize
+from buildscope.plans.tables import materialize
 from buildscope.schemas import ISSUES
 
 CRITICAL, MAJOR, MINOR = "critical", "major", "minor"
@@ -188,12 +188,12 @@ def duplicated_ids(df: DataFrame) -> DataFrame:
 def check_duplicate_global_ids(df: DataFrame) -> DataFrame:
     """One critical issue per occurrence of an id that is not unique in its model.
 
-    The repeated ids are written and counted. Few of them are broadcast to the elements;
-    many are joined with the hot ids kept out of the shuffle.
+    The repeated ids, counted before the shuffle, are written, so that the join back knows
+    their size; adaptive execution splits an id with very many elements.
     """
     repeated = materialize(duplicated_ids(df), "duplicate-ids")
     elements = df.select(*DUPLICATE_KEY, "ifc_type", _element_name(df).alias("element_name"))
-    return attach(elements, repeated, DUPLICATE_KEY, "inner", rows_per_key="occurrences").select(
+    return elements.join(repeated, DUPLICATE_KEY).select(
         "model_id", "global_id", "ifc_type",
         F.lit("duplicate_global_id").alias("issue_type"),
         F.lit(CRITICAL).alias("severity"),

@@ -9,7 +9,7 @@ from buildscope.operators import checks, metrics, portfolio
 from buildscope.operators.anomaly import to_anomalies
 from buildscope.operators.forest import AnomalyDetector
 from buildscope.operators.geometry import compute_geometry_features
-from buildscope.plans.tables import attach, materialize
+from buildscope.plans.tables import materialize
 from buildscope.schemas import FEATURES, GEOMETRY_COLUMNS
 from buildscope.sources import step, tables
 
@@ -92,7 +92,7 @@ def analyse_directory(
     )
     readable = checked.filter("is_valid").select("model_id")
     elements = step.extract_elements(step.parse_entities(records), types, keep_entity_id=True)
-    elements = attach(elements, readable, ["model_id"], "left_semi").withColumnRenamed("entity_id", "element_key")
+    elements = elements.join(readable, "model_id", "left_semi").withColumnRenamed("entity_id", "element_key")
     if meshes is None:
         features = elements.withColumns(
             {"has_geometry": F.lit(False), **{c: F.lit(None).cast("double") for c in GEOMETRY_COLUMNS}}

@@ -19,11 +19,13 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from buildscope.plans.tables import attach, materialize
+from buildscope.plans.tables import materialize
 
 MAP_ROWS = 10_000
 SORT_ROWS = 1_000_000
 SKETCH_ACCURACY = 10_000
+# Resolutions of the sketch by which a bracket is wider than the wanted rank on either side.
+MARGIN = 2.0
 
 
 def quantile_name(column: str, prob: float) -> str:
@@ -39,7 +41,6 @@ def exact_quantiles(
     map_rows: int | None = None,
     sort_rows: int | None = None,
     accuracy: int = SKETCH_ACCURACY,
-    broadcast_rows: int | None = None,
 ) -> DataFrame:
     """One row per key with a column ``<column>_q<prob>`` for each column and probability.
 
@@ -56,7 +57,7 @@ def exact_quantiles(
     sizes = materialize(sizes, "group-sizes")
 
     def part(groups: DataFrame, how: str) -> DataFrame:
-        return attach(base, groups.select(key), [key], how, broadcast_rows=broadcast_rows)
+        return base.join(groups.select(key), key, how)
 
     found = _by_map(part(sizes, "left_anti"), columns, probs, key)
     found = found.unionByName(
@@ -66,7 +67,7 @@ def exact_quantiles(
     if huge.isEmpty():
         return found
     return found.unionByName(
-        _by_bracket(part(huge, "left_semi"), columns, probs, key, accuracy, broadcast_rows)
+        _by_bracket(part(huge, "left_semi"), columns, probs, key, accuracy)
     )
 
 
@@ -114,9 +115,9 @@ def _by_rank(base: DataFrame, columns: list[str], probs: list[float], key: str)
 
 
 def _by_bracket(
-    base: DataFrame, columns: list[str], probs: list[float], key: str, accuracy: int, broadcast_rows: int | None
+    base: DataFrame, columns: list[str], probs: list[float], key: str, accuracy: int
 ) -> DataFrame:
-    margin = 2.0 / accuracy
+    margin = MARGIN / accuracy
     cells = [(i, j, c, p) for i, c in enumerate(columns) for j, p in enumerate(probs)]
     summary: list[Column] = []
     for i, c in enumerate(columns):
@@ -132,7 +133,7 @@ def _by_bracket(
         high = F.when(trusted & F.lit(p + margin < 1.0), F.col(f"_sketch{i}")[2 * j + 1]).otherwise(F.col(f"_max{i}"))
         bounds += [low.alias(f"_lo{i}_{j}"), high.alias(f"_hi{i}_{j}")]
     brackets = materialize(sketched.select(*bounds), "brackets")
-    bounded = attach(base, brackets, [key], broadcast_rows=broadcast_rows)
+    bounded = base.join(brackets, key)
 
     below = bounded.groupBy(key).agg(
         *[F.count(F.when(F.col(c) < F.col(f"_lo{i}_{j}"), 1)).alias(f"_below{i}_{j}") for i, j, c, _ in cells]
@@ -189,7 +190,24 @@ def _by_bracket(
         [(j, _interpolate(p, F.col("_total"), first, after)) for j, p in enumerate(probs)],
         F.lit(math.nan),
     )
-    picked = ranked.groupBy(key, "_column", "_prob").agg(wanted.alias("_picked"))
+    # The ranks around the wanted one must lie inside the bracket, or the sketch was off by more than it promises.
+    low, high = F.floor(_position(probs) * (F.col("_total") - 1)), F.ceil(_position(probs) * (F.col("_total") - 1))
+    missed = (F.col("_total") > 0) & ((F.max("_inside") + F.max("_below") <= F.max(high)) | (F.max("_below") > F.max(low)))
+    picked = ranked.groupBy(key, "_column", "_prob", "_total").agg(wanted.alias("_picked"), F.coalesce(missed, F.lit(True)).alias("_missed"))
+    picked = materialize(picked, "picked")
+    again = picked.filter((F.col("_total") > 0) & F.col("_missed")).select(key).distinct()
+    if not again.isEmpty():
+        # Such a group is sorted whole.
+        found = _wide_by_prob(picked.join(again, key, "left_anti"), cells, key)
+        return found.unionByName(_by_rank(base.join(again, key, "left_semi"), columns, probs, key))
+    return _wide_by_prob(picked, cells, key)
+
+
+def _position(probs: list[float]) -> Column:
+    return F.element_at(F.array(*[F.lit(float(p)) for p in probs]), F.col("_prob") + 1)
+
+
+def _wide_by_prob(picked: DataFrame, cells: list[tuple], key: str) -> DataFrame:
     return picked.groupBy(key).agg(
         *[
             F.max(F.when((F.col("_column") == i) & (F.col("_prob") == j), F.col("_picked"))).alias(

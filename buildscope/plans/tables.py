@@ -1,38 +1,27 @@
-"""Written intermediate tables and joins that survive a hot key."""
+"""Written intermediate tables."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-# A side is broadcast only after its rows were counted and found within this bound.
-BROADCAST_ROWS = 100_000
-# A key with more rows than this is taken out of the shuffle join.
-HOT_ROWS = 5_000_000
-# At most this many hot keys are broadcast. Whatever is left has at most total / HOT_KEYS rows per key.
-HOT_KEYS = 10_000
-
-_local_dirs: dict[str, str] = {}
+_own_dirs: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach: the one the cluster names in ``spark.checkpoint.dir``.
 
-    Only a local session may go without the setting; it then gets a temporary folder.
+    A session in one process may leave it unset and then has a folder of its own.
     """
-    app = spark.sparkContext.applicationId
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return f"{named.rstrip('/')}/buildscope-{app}"
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-    if app not in _local_dirs:
-        _local_dirs[app] = tempfile.mkdtemp(prefix="buildscope-")
-    return _local_dirs[app]
+    app, master = spark.sparkContext.applicationId, spark.sparkContext.master
+    named = spark.conf.get("spark.checkpoint.dir", None) or _own_dirs.get(app)
+    if not named:
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
+        named = _own_dirs[app] = tempfile.mkdtemp(prefix="buildscope-")
+    return f"{named.rstrip('/')}/buildscope-{app}"
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
@@ -71,78 +60,3 @@ def release(*tables: DataFrame | None) -> None:
             spark = table.sparkSession
             place = spark._jvm.org.apache.hadoop.fs.Path(path)
             place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
-
-
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Deal the rows of an input with too few splits over all cores; other inputs are left alone.
-
-    A table of one small file is read by a single task, which would run every narrow
-    step after it. Large tables have more splits than cores and are not shuffled.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df
-
-
-def is_small(df: DataFrame, bound: int | None = None) -> bool:
-    """Whether ``df`` has at most ``bound`` rows; reads no more than ``bound + 1`` of them."""
-    bound = BROADCAST_ROWS if bound is None else bound
-    return df.limit(bound + 1).count() <= bound
-
-
-def hot_keys(rows: DataFrame, keys: Sequence[str], hot_rows: int | None = None) -> DataFrame:
-    """Keys holding more than ``hot_rows`` rows, the largest ``HOT_KEYS`` of them."""
-    return largest_keys(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")), keys, "_rows", hot_rows)
-
-
-def largest_keys(counted: DataFrame, keys: Sequence[str], count: str, hot_rows: int | None = None) -> DataFrame:
-    hot_rows = HOT_ROWS if hot_rows is None else hot_rows
-    return (
-        counted.filter(F.col(count) > hot_rows).orderBy(F.desc(count), *keys).limit(HOT_KEYS).select(*keys)
-    )
-
-
-def skew_safe_join(
-    rows: DataFrame,
-    other: DataFrame,
-    keys: Sequence[str],
-    how: str = "left",
-    hot_rows: int | None = None,
-    rows_per_key: str | None = None,
-) -> DataFrame:
-    """Join ``rows`` to ``other`` (at most one row per key) without shuffling hot keys.
-
-    Rows of the hot keys meet their single partner through a broadcast bounded by
-    ``HOT_KEYS`` rows; all other rows use an ordinary shuffle join. ``rows_per_key``
-    names a column of ``other`` with the number of ``rows`` of its key, where known;
-    else the keys are counted.
-    """
-    keys = list(keys)
-    hot = hot_keys(rows, keys, hot_rows) if rows_per_key is None else largest_keys(other, keys, rows_per_key, hot_rows)
-    hot = materialize(hot, "hot-keys")
-    if hot.isEmpty():
-        return rows.join(other, keys, how)
-    hot = F.broadcast(hot)
-    partners = F.broadcast(other.join(hot, keys, "left_semi"))
-    direct = rows.join(hot, keys, "left_semi").join(partners, keys, how)
-    shuffled = rows.join(hot, keys, "left_anti").join(other, keys, how)
-    return direct.unionByName(shuffled)
-
-
-def attach(
-    rows: DataFrame,
-    other: DataFrame,
-    keys: Sequence[str],
-    how: str = "left",
-    *,
-    broadcast_rows: int | None = None,
-    hot_rows: int | None = None,
-    rows_per_key: str | None = None,
-) -> DataFrame:
-    """Join ``rows`` to a written table with one row per key.
-
-    ``other`` is counted first: within the bound it is broadcast and ``rows`` are not
-    shuffled at all, beyond it the join is ``skew_safe_join``.
-    """
-    if is_small(other, broadcast_rows):
-        return rows.join(F.broadcast(other), list(keys), how)
-    return skew_safe_join(rows, other, keys, how, hot_rows, rows_per_key)

@@ -113,7 +113,7 @@ def mesh_bbox(spark, sf):
 
 @query
 def mesh_bbox_ragged(spark, sf):
-    return geometry.mesh_features(inputs.meshes(spark, sf, floats=64)).select(
+    return geometry.mesh_features(inputs.meshes(spark, sf, ragged=True)).select(
         "model_id", "global_id", "has_geometry", *geometry.BOX
     )
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from buildscope.functions.columns import missing_to_null
 from buildscope.operators import portfolio
-from buildscope.plans.tables import materialize, spread
+from buildscope.plans.tables import materialize
 
 BASE = {
     "model_id": """'model_' || CAST(CASE WHEN l_suppkey % 10 IN (0, 1) THEN l_suppkey - l_suppkey % 10 ELSE l_suppkey END AS VARCHAR(20))
@@ -58,7 +58,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def base_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items, parts = spread(table(spark, sf_dir, "lineitem"), "l_orderkey"), table(spark, sf_dir, "part")
+    items, parts = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "part")
     return items.join(parts, items["l_partkey"] == parts["p_partkey"])
 
 
@@ -77,13 +77,22 @@ def elements(spark: SparkSession, sf_dir: str) -> DataFrame:
     return base_rows(spark, sf_dir).select(*[F.expr(BASE[name]).alias(name) for name in ELEMENT])
 
 
-def meshes(spark: SparkSession, sf_dir: str, floats: int = 63) -> DataFrame:
-    """Embeddings read as vertex lists: the first 63 floats are 21 vertices."""
+def _thrice(column: str):
+    """A list of any length as vertices: three times over it can be cut into triples."""
+    return F.concat(column, column, column)
+
+
+def meshes(spark: SparkSession, sf_dir: str, ragged: bool = False) -> DataFrame:
+    """Embeddings read as vertex lists, whole: 64 floats three times over are 64 vertices.
+
+    ``ragged`` lists are taken once and do not divide by three.
+    """
+    verts = F.col("embedding") if ragged else _thrice("embedding")
     return table(spark, sf_dir, "embeddings").select(
         F.col("label").cast("string").alias("model_id"),
         F.col("vec_id").cast("string").alias("global_id"),
         F.col("vec_id").alias("entity_id"),
-        F.slice("embedding", 1, floats).cast("array<double>").alias("verts"),
+        verts.cast("array<double>").alias("verts"),
     )
 
 
@@ -94,7 +103,7 @@ def shared_id_meshes(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("label").cast("string").alias("model_id"),
         F.floor(vec / 3).cast("string").alias("global_id"),
         vec.alias("entity_id"),
-        F.when(vec % 11 != 0, F.slice("embedding", F.lit(1), F.when(vec % 13 == 0, F.lit(64)).otherwise(F.lit(63))))
+        F.when(vec % 11 != 0, F.when(vec % 13 == 0, F.col("embedding")).otherwise(_thrice("embedding")))
         .cast("array<double>")
         .alias("verts"),
     )

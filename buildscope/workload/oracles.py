@@ -219,11 +219,13 @@ def _sources() -> dict[str, str]:
     }
 
 
-def _box(embedding: str, floats: int = 63) -> str:
+def _box(embedding: str) -> str:
+    """Every float of the list, three times over, as vertices."""
     made = []
+    whole = f"list_concat({embedding}, list_concat({embedding}, {embedding}))"
     for end in ("min", "max"):
         for i, axis in enumerate("xyz"):
-            values = f"[CAST({embedding}[i] AS DOUBLE) FOR i IN range({i + 1}, {floats + 1}, 3)]"
+            values = f"[CAST({whole}[i] AS DOUBLE) FOR i IN range({i + 1}, 3 * len({embedding}) + 1, 3)]"
             made.append(f"list_{end}({values}) AS bbox_{end}_{axis}")
     return ", ".join(made)
 

@@ -8,7 +8,7 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     session = (
         SparkSession.builder.master("local[4]")
         .appName("tests")
@@ -16,6 +16,7 @@ def spark():
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "6g")
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.checkpoint.dir", str(tmp_path_factory.mktemp("shared")))
         .getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")
@@ -24,12 +25,13 @@ def spark():
 
 
 @pytest.fixture
-def forced_shuffle(monkeypatch):
-    """Small data takes the ways of large data: nothing counts as small, three rows make a key hot."""
-    from buildscope.plans import tables
-
-    monkeypatch.setattr(tables, "BROADCAST_ROWS", 0)
-    monkeypatch.setattr(tables, "HOT_ROWS", 3)
+def forced_shuffle(spark):
+    """Small data takes the way of large data: no side of a join is broadcast."""
+    name = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "-1")
+    yield
+    spark.conf.set(name, before)
 
 
 def rows_of(df, *columns):

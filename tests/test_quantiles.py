@@ -32,7 +32,6 @@ WAYS = {
     "map": {},
     "sort": {"map_rows": 1},
     "bracket": {"map_rows": 1, "sort_rows": 5, "accuracy": 100},
-    "bracket without broadcast": {"map_rows": 1, "sort_rows": 5, "accuracy": 100, "broadcast_rows": 0},
     "mixed": {"map_rows": 5, "sort_rows": 2100, "accuracy": 50},
 }
 
@@ -51,3 +50,13 @@ def test_quantiles(spark, values, way):
                 else:
                     assert got == pytest.approx(np.quantile(expected, p), rel=1e-12, abs=1e-300), (key, column, p)
     assert found["void"][quantile_name("a", 0.5)] is None
+
+
+def test_a_missed_bracket_is_sorted_whole(spark, values, monkeypatch):
+    """Without a margin the sketch's brackets miss ranks; the result must not change."""
+    from buildscope.plans import quantiles
+
+    expected = {r["model_id"]: r for r in exact_quantiles(values, ["a", "b"], PROBS).collect()}
+    monkeypatch.setattr(quantiles, "MARGIN", 0.0)
+    found = {r["model_id"]: r for r in exact_quantiles(values, ["a", "b"], PROBS, map_rows=1, sort_rows=5, accuracy=20).collect()}
+    assert found == expected

@@ -6,7 +6,7 @@ from fixtures import features
 from pyspark.sql import functions as F
 
 from buildscope.operators import anomaly, checks, forest, geometry, metrics, portfolio, preprocess
-from buildscope.plans import quantiles, tables
+from buildscope.plans import quantiles
 from buildscope.schemas import MESHES
 
 
@@ -59,7 +59,7 @@ def test_hot_id_finds_its_mesh(spark, skewed, large_ways):
         "model_id", "global_id", F.lit(1).cast("long").alias("entity_id"), F.array(*[F.lit(float(v)) for v in range(6)]).alias("verts")
     )
     assert meshes.schema.names == MESHES.names
-    found = geometry.compute_geometry_features(ids, meshes, hot_rows=10)
+    found = geometry.compute_geometry_features(ids, meshes)
     assert found.count() == 900 and found.filter("dim_x = 3.0").count() == 900
 
 
@@ -78,4 +78,3 @@ def test_written_folders_split_a_hot_model(spark, skewed, tmp_path):
     save_by_model(skewed.select("model_id", "global_id"), str(tmp_path / "t"))
     back = spark.read.parquet(str(tmp_path / "t"))
     assert rows_of(back.groupBy("model_id").count()) == rows_of(skewed.groupBy("model_id").count())
-    assert tables.is_small(back, 900) and not tables.is_small(back, 899)

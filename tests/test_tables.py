@@ -1,8 +1,10 @@
-"""Joins and written tables, forced onto the ways of large data."""
+"""Written tables."""
+
+import os
+from types import SimpleNamespace
 
 import pytest
 from conftest import rows_of
-from pyspark.sql import functions as F
 
 from buildscope.plans import tables
 
@@ -17,28 +19,6 @@ def sides(spark):
     return rows, stats
 
 
-@pytest.mark.parametrize("how", ["left", "inner", "left_semi", "left_anti"])
-@pytest.mark.parametrize("options", [{}, {"broadcast_rows": 0}, {"broadcast_rows": 0, "hot_rows": 5}, {"broadcast_rows": 0, "hot_rows": 0}])
-def test_attach_equals_join(sides, how, options):
-    rows, stats = sides
-    assert rows_of(tables.attach(rows, stats, ["k"], how, **options)) == rows_of(rows.join(stats, "k", how))
-
-
-def test_hot_rows_are_not_shuffled(sides):
-    rows, stats = sides
-    joined = tables.skew_safe_join(rows, stats, ["k"], "left", hot_rows=5)
-    plan = joined._jdf.queryExecution().executedPlan().toString()
-    assert "BroadcastHashJoin [k" in plan and "CartesianProduct" not in plan
-    assert joined.filter(F.col("k") == "hot").count() == 50
-
-
-def test_few_hot_keys_are_kept(sides, monkeypatch):
-    rows, stats = sides
-    monkeypatch.setattr(tables, "HOT_KEYS", 1)
-    assert rows_of(tables.hot_keys(rows, ["k"], 1)) == [("hot",)]
-    assert rows_of(tables.skew_safe_join(rows, stats, ["k"], "left", 1)) == rows_of(rows.join(stats, "k", "left"))
-
-
 def test_materialize_cuts_the_plan(sides):
     written = tables.materialize(sides[0].groupBy("k").count())
     plan = written._jdf.queryExecution().executedPlan().toString()
@@ -47,14 +27,22 @@ def test_materialize_cuts_the_plan(sides):
 
 
 def test_folder_is_the_one_the_session_names(spark):
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        assert tables.shared_dir(spark).startswith(named)
+    assert tables.shared_dir(spark).startswith(spark.conf.get("spark.checkpoint.dir"))
+
+
+@pytest.mark.parametrize("master", ["local[2]", "spark://host:7077", "local-cluster[3,2,1024]"])
+def test_only_a_session_in_one_process_may_name_no_folder(master):
+    session = SimpleNamespace(conf=SimpleNamespace(get=lambda name, default: default), sparkContext=SimpleNamespace(applicationId=master, master=master))
+    if master == "local[2]":
+        assert tables.shared_dir(session) == tables.shared_dir(session)
     else:
-        assert tables.shared_dir(spark) == tables.shared_dir(spark)
+        with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+            tables.shared_dir(session)
 
 
-def test_spread_leaves_large_inputs_alone(spark):
-    many = spark.range(0, 100, 1, 64)
-    assert tables.spread(many, "id") is many
-    assert tables.spread(spark.range(0, 100, 1, 1), "id").rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+def test_release_deletes_what_was_written(sides):
+    written = tables.materialize(sides[0])
+    path = written._scratch_path
+    assert written.count() == sides[0].count() and os.path.isdir(path)
+    tables.release(written, None, sides[1])
+    assert not os.path.exists(path)
