@@ -49,9 +49,13 @@ def model_results(
     anomalies: DataFrame | None = None,
     runtime: Column | None = None,
     limits: Limits = Limits(),
+    paths: DataFrame | None = None,
 ) -> DataFrame:
     """One success row per model in the ``MODEL_RESULTS`` schema.
 
+    ``paths`` (model_id, path) gives where models came from, else a path is made from the id.
+    A runtime that was not measured is null.
+
     Issues are counted, not made: two aggregations over the element table and joins of
     one-row-per-model results.
     """
@@ -62,6 +66,10 @@ def model_results(
         joined = joined.join(anomaly_counts(anomalies), "model_id", "left")
     else:
         joined = joined.withColumn("anomaly_count", F.lit(None).cast("long"))
+    if paths is not None:
+        joined = joined.join(paths.select("model_id", "path"), "model_id", "left")
+    else:
+        joined = joined.withColumn("path", F.concat("model_id", F.lit(".ifc")))
     total = F.col("element_count")
     joined = joined.select(
         "*", *[severity_counts(s).alias(f"{s}_issues") for s in SEVERITIES]
@@ -72,7 +80,7 @@ def model_results(
     )
     return joined.select(
         F.col("model_id").alias("model_name"),
-        F.concat("model_id", F.lit(".ifc")).alias("model_path"),
+        F.col("path").alias("model_path"),
         F.lit(SUCCESS).alias("status"),
         total.alias("element_count"),
         "total_issues",
@@ -84,7 +92,7 @@ def model_results(
         ),
         "anomaly_count",
         (F.col("anomaly_count") / total).alias("anomaly_rate"),
-        (runtime if runtime is not None else F.lit(0.0)).cast("double").alias("runtime_seconds"),
+        (runtime if runtime is not None else F.lit(None)).cast("double").alias("runtime_seconds"),
         F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("processed_at"),
         F.lit(None).cast("string").alias("error_message"),
     )

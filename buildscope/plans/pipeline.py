@@ -19,6 +19,7 @@ def run_portfolio_analysis(
     output: str,
     *,
     failures: DataFrame | None = None,
+    paths: DataFrame | None = None,
     enable_ml: bool = False,
     n_estimators: int = 100,
     quality_threshold: float = 80.0,
@@ -29,7 +30,8 @@ def run_portfolio_analysis(
     Writes features, issues, anomalies (with ``enable_ml``), metrics and the portfolio
     results, and returns the portfolio document. Each stage reads what the one before
     it wrote. ``failures`` are models that could not be read, as
-    (model_name, model_path, error_message).
+    (model_name, model_path, error_message); ``paths`` (model_id, path) are where the others
+    came from.
     """
     spark = features.sparkSession
     kept = [c for c in (*FEATURES.fieldNames(), "element_key") if c in features.columns]
@@ -51,7 +53,7 @@ def run_portfolio_analysis(
         tables.save_anomalies(to_anomalies(detector.fit_predict(rows)), f"{output}/anomalies")
         anomalies = tables.load_anomalies(spark, f"{output}/anomalies")
 
-    results = portfolio.model_results(rows, anomalies, limits=limits)
+    results = portfolio.model_results(rows, anomalies, limits=limits, paths=paths)
     if failures is not None:
         results = portfolio.with_failures(results, failures)
     results = materialize(results, "results")
@@ -68,14 +70,15 @@ def analyse_directory(
     *,
     recursive: bool = False,
     types: DataFrame | None = None,
-    record_end: str | None = step.RECORD_END,
+    record_end: str | None = step.DETECT,
     **options,
 ) -> DataFrame:
     """The workflow from a folder of model files.
 
-    A file that cannot be read becomes a failure row and the others go on. ``meshes``
-    holds the world-coordinate vertices of the elements; without it no element has
-    geometry.
+    Every file gives one result row: a file that cannot be read, or that holds no product,
+    a failure row. Entity types outside the table of product types are counted under
+    ``unlisted_types``. ``meshes`` holds the world-coordinate vertices of the elements;
+    without it no element has geometry.
     """
     listing = step.discover_models(spark, directory, recursive)
     records = step.read_records(spark, directory, recursive, record_end)
@@ -91,12 +94,23 @@ def analyse_directory(
         F.concat(F.lit("IFCLoadError: "), F.col("error")).alias("error_message"),
     )
     readable = checked.filter("is_valid").select("model_id")
-    elements = step.extract_elements(step.parse_entities(records), types, keep_entity_id=True)
+    entities = step.parse_entities(records)
+    unlisted = step.unlisted_types(entities, types).join(readable, "model_id", "left_semi")
+    unlisted.write.mode("overwrite").parquet(f"{output}/unlisted_types")
+    elements = step.extract_elements(entities, types, keep_entity_id=True)
     elements = elements.join(readable, "model_id", "left_semi").withColumnRenamed("entity_id", "element_key")
+    elements = materialize(elements, "elements")
+    empty = checked.filter("is_valid").join(elements.select("model_id"), "model_id", "left_anti")
+    failures = failures.unionByName(
+        empty.select(
+            F.col("model_id").alias("model_name"), F.col("path").alias("model_path"), F.lit("NoElements: no product in the file").alias("error_message")
+        )
+    )
     if meshes is None:
         features = elements.withColumns(
             {"has_geometry": F.lit(False), **{c: F.lit(None).cast("double") for c in GEOMETRY_COLUMNS}}
         )
     else:
         features = compute_geometry_features(elements, meshes)
-    return run_portfolio_analysis(features, output, failures=failures, **options)
+    paths = checked.filter("is_valid").select("model_id", "path")
+    return run_portfolio_analysis(features, output, failures=failures, paths=paths, **options)
