@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from buildscope.operators.portfolio import CONTAMINATION_BANDS, CONTAMINATION_SMALL, contamination
+from buildscope.operators.portfolio import contamination
 from buildscope.plans.quantiles import exact_quantiles, quantile_name
 from buildscope.plans.tables import materialize
 from buildscope.schemas import ANOMALIES
@@ -34,12 +34,9 @@ def score_limits(
     """
     if sizes is None:
         sizes = scored.groupBy("model_id").agg(F.count(F.lit(1)).alias("element_count"))
-    if callable(share):
-        shares = sorted({value for _, value in CONTAMINATION_BANDS} | {CONTAMINATION_SMALL})
-        wanted = share(F.col("element_count"))
-    else:
-        shares = [float(share)]
-        wanted = F.lit(float(share))
+    wanted = (share(F.col("element_count")) if callable(share) else F.lit(share)).cast("double")
+    # The shares that occur; a function of the size should have few.
+    shares = sorted(r[0] for r in sizes.select(wanted.alias("share")).distinct().dropna().collect())
     quantiles = exact_quantiles(scored, ["anomaly_score"], shares)
     offset = F.lit(None).cast("double")
     for value in shares:

@@ -159,6 +159,7 @@ def pareto_issue_types(issues: DataFrame, top_n: int | None = None) -> DataFrame
     return table if top_n is None else table.filter(F.col("rank") <= top_n)
 
 
+# The metrics of the report, in its order.
 KPI_METRICS = (
     "total_elements", "quality_score", "total_issues", "issue_rate_per_1000",
     "name_pct", "object_type_pct", "geometry_pct", "critical", "major", "minor",
