@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -115,8 +116,8 @@ def _element_name(df: DataFrame) -> Column:
 def local_issues(df: DataFrame, rules: Iterable[str] = LOCAL_RULES, limits: Limits = Limits()) -> DataFrame:
     """Violations of the element-local rules, in one scan.
 
-    Every row is expanded to its candidates inside generated code and the broken ones
-    stay. Text is made last, so a consumer that counts issues never formats a message.
+    Rows that break no rule are dropped first; the others are expanded to their broken
+    rules. Text is made last, so a consumer that counts issues never formats a message.
     """
     violations = list(local_violations(df.columns, rules, limits))
     if not violations:
@@ -127,9 +128,11 @@ def local_issues(df: DataFrame, rules: Iterable[str] = LOCAL_RULES, limits: Limi
             for i, v in enumerate(violations)
         ]
     )
-    hits = df.select(
-        "model_id", "global_id", "ifc_type", _element_name(df).alias("_name"), F.explode(found).alias("_hit")
-    ).filter(F.col("_hit").isNotNull())
+    any_broken = reduce(lambda a, b: a | b, [v.broken for v in violations])
+    hits = df.filter(any_broken).select(
+        "model_id", "global_id", "ifc_type", _element_name(df).alias("_name"),
+        F.explode(F.filter(found, lambda hit: hit.isNotNull())).alias("_hit"),
+    )
     which, value = F.col("_hit.which"), F.col("_hit.value")
 
     def lookup(texts: list[str]) -> Column:

@@ -6,6 +6,9 @@ top lists are over models, not elements.
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -44,6 +47,18 @@ def anomaly_counts(anomalies: DataFrame) -> DataFrame:
     return anomalies.groupBy("model_id").agg(F.count_if("is_anomaly").alias("anomaly_count"))
 
 
+def model_scores(features: DataFrame, weights: Mapping[str, float] | None = None, limits: Limits = Limits()) -> DataFrame:
+    """Score of each model from counted issues; the issue rows are not made."""
+    weights = {**SEVERITY_WEIGHTS, **(weights or {})}
+    counts = count_issues_by_model(features, limits)
+    counted = counts.select("model_id", F.col("element_count").alias("total_elements"), *[severity_counts(s).alias(s) for s in SEVERITIES])
+    issues = reduce(lambda a, b: a + b, [F.col(s) for s in SEVERITIES])
+    weighted = reduce(lambda a, b: a + b, [F.col(s) * F.lit(weights[s]) for s in SEVERITIES])
+    return counted.select(
+        "model_id", "total_elements", issues.alias("total_issues"), quality_score(F.col("total_elements"), weighted).alias("quality_score")
+    )
+
+
 def model_results(
     features: DataFrame,
     anomalies: DataFrame | None = None,

@@ -323,12 +323,12 @@ def top_offenders_issue_type(spark, sf):
 
 @query
 def quality_score(spark, sf):
-    return rounded(metrics.quality_scores(_features(spark, sf), _issues(spark, sf)), "quality_score")
+    return rounded(portfolio.model_scores(_features(spark, sf)), "quality_score")
 
 
 @query
 def quality_score_custom_weights(spark, sf):
-    return rounded(metrics.quality_scores(_features(spark, sf), _issues(spark, sf), CUSTOM_WEIGHTS), "quality_score")
+    return rounded(portfolio.model_scores(_features(spark, sf), CUSTOM_WEIGHTS), "quality_score")
 
 
 @query
