@@ -7,8 +7,8 @@ over digits, the longest shared digit first, in which whatever is alone in its g
    windows have equal anchors at equal offsets. Anchors are few, one in about fifty places, and only they are shuffled. An anchor whose
    digit is nowhere else is done. If all places of a digit agree on everything around it that a window could reach, all their windows
    are repeated.
-2. *Remaining digits.* Places that share the digit and differ around it carry these surroundings. A group of at most ``GROUP`` places
-   is finished in one task: for each offset of the anchor in a window, windows are grouped by all their bytes. Larger groups are split
+2. *Remaining digits.* Places that share the digit and differ around it carry these surroundings, one place for each that occur. A
+   group of at most ``GROUP`` places is finished in one task: for each offset of the anchor in a window, windows are grouped by all their bytes. Larger groups are split
    further: the offsets are cut into ranges, each range keyed by the bytes that its windows have in common (one alone drops out, and
    agreement settles the rest), and what is left is grouped window by window. So no group is gathered in one task, whatever its size.
 
@@ -35,8 +35,8 @@ from buildscope.plans.tables import materialize, release
 WINDOW, DIGIT = 200, 100
 # Offsets of an anchor in its windows: 0 to REACH.
 REACH = WINDOW - DIGIT
-# Places that share a digit and are finished in one task; larger groups are split.
-GROUP = 4_000
+# Places that share a digit, and differ around it, finished in one task (about 100 MB); larger groups are split.
+GROUP = 16_000
 # Ranges of offsets that a larger group is split into.
 RANGES = ((0, 24), (25, 49), (50, 74), (75, 100))
 # Rows that a task turns into arrays at once.
@@ -291,23 +291,31 @@ def repeated_spans(texts: DataFrame) -> DataFrame:
     found = texts.mapInArrow(find_anchors, "digit long, around long, h1 long, hp long")
     groups = (
         found.groupBy("digit").agg(F.count(F.lit(1)).alias("n"), F.min("around").alias("least"), F.max("around").alias("most"))
-        .filter("n > 1").select("digit", "n", (F.col("least") == F.col("most")).alias("agree"))
+        .filter("n > 1").select("digit", (F.col("least") == F.col("most")).alias("agree"))
     )
-    shared = materialize(found.select("digit", "h1", "hp").join(groups, "digit"), "shared-digits")
-    places = shared.select("digit", "n", "agree", "h1", F.shiftright("hp", 32).cast("int").alias("h2"), F.col("hp").bitwiseAND(F.lit(0xFFFFFFFF)).alias("place"))
-    agreed = places.filter("agree").select("h1", "h2", (F.col("place") - REACH).alias("start"), (F.col("place") + WINDOW).alias("end"))
+    shared = materialize(found.join(groups.select("digit", "agree"), "digit"), "shared-digits")
+    places = shared.select("digit", "around", "agree", "h1", F.shiftright("hp", 32).cast("int").alias("h2"), F.col("hp").bitwiseAND(F.lit(0xFFFFFFFF)).alias("place"))
+    reach = ["h1", "h2", (F.col("place") - REACH).alias("start"), (F.col("place") + WINDOW).alias("end")]
+    agreed = places.filter("agree").select(*reach)
+    # Places that agree with another one, if not with all, have only repeated windows; one of them stands for all.
+    open_ = places.filter("NOT agree")
+    kinds = open_.groupBy("digit", "around").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("h1", "h2", "place")).alias("first"))
+    kinds = materialize(kinds, "surroundings-of-digits")
+    alike = open_.join(kinds.filter("copies > 1").select("digit", "around"), ["digit", "around"], "left_semi").select(*reach)
+    sizes = kinds.groupBy("digit").agg(F.count(F.lit(1)).alias("n"))
+    single = kinds.select("digit", "first.*").join(sizes, "digit")
     # The places of one text are one row, bounded by its length.
-    open_ = places.filter("NOT agree").groupBy("h1", "h2").agg(F.collect_list(F.struct("digit", "n", "place")).alias("places"))
+    open_ = single.groupBy("h1", "h2").agg(F.collect_list(F.struct("digit", "n", "place")).alias("places"))
     cut = texts.join(open_, ["h1", "h2"]).mapInArrow(cut_surroundings, "digit long, n long, h1 long, h2 int, place long, bytes binary, low int, high int")
     cut = materialize(cut, "surroundings")
     small = cut.filter(F.col("n") <= GROUP).repartition(parts, "digit").sortWithinPartitions("digit")
-    found = agreed.unionByName(small.mapInArrow(finish_groups, "h1 long, h2 int, start long, end long"))
+    found = agreed.unionByName(alike).unionByName(small.mapInArrow(finish_groups, "h1 long, h2 int, start long, end long"))
     large = cut.filter(F.col("n") > GROUP)
     if not large.isEmpty():
         found = found.unionByName(_split_spans(large))
     # A row for each text, bounded by its length.
     spans = materialize(found.groupBy("h1", "h2").agg(F.collect_list("start").alias("starts"), F.collect_list("end").alias("ends")), "spans")
-    release(shared, cut)
+    release(shared, kinds, cut)
     return spans
 
 

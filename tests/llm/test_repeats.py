@@ -43,7 +43,7 @@ def planted():
     return rows
 
 
-@pytest.mark.parametrize("group", [4_000, 2])
+@pytest.mark.parametrize("group", [repeats.GROUP, 2])
 def test_planted_passages(spark, monkeypatch, group):
     """Also when every shared digit counts as a large group and is split."""
     monkeypatch.setattr(repeats, "GROUP", group)
