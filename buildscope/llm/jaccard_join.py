@@ -38,7 +38,7 @@ from buildscope.plans.tables import materialize, release
 BUCKETS = 1 << 22
 BUCKET_SHIFT = np.uint64(64 - 22)
 BUCKETS_PER_ROW = 1 << 14
-PARTS = 16
+PARTS = 128
 STAR_ROUNDS = 3
 BLOCK = 2_000
 # Bits of the filter that finds the texts of candidate classes; a full filter only reads more.
@@ -129,33 +129,53 @@ def describe(docs: DataFrame, size: int, least: int) -> DataFrame:
                 order = np.lexsort((tokens, counts[(tokens >> BUCKET_SHIFT).astype(np.int64)]))
                 classes.append(class_of(tokens))
                 prefixes.append(tokens[order[: prefix_size(len(tokens), least) if len(tokens) else 0]].view(np.int64))
-                parts.append(np.bincount((tokens & np.uint64(PARTS - 1)).astype(np.int64), minlength=PARTS).astype(np.int32))
+                sizes = np.bincount((tokens & np.uint64(PARTS - 1)).astype(np.int64), minlength=PARTS)
+                # Cut at what a byte holds, sizes differ by less, so the bound stays one.
+                parts.append(np.minimum(sizes, 255).astype(np.uint8).tobytes())
             columns = [
                 batch.column("id"), batch.column("h1"), pa.array([len(s) for s in sets], pa.int64()), pa.array(classes, pa.int64()),
-                pa.array(prefixes, pa.list_(pa.int64())), pa.array(parts, pa.list_(pa.int32())),
+                pa.array(prefixes, pa.list_(pa.int64())), pa.array(parts, pa.binary()),
             ]
             yield pa.RecordBatch.from_arrays(columns, ["id", "h1", "n", "class", "prefix", "parts"])
 
     rows = docs.select("id", F.xxhash64("text").alias("h1"), "text")
-    return rows.mapInArrow(run, f"id {id_type}, h1 long, n long, class long, prefix array<long>, parts array<int>")
+    return rows.mapInArrow(run, f"id {id_type}, h1 long, n long, class long, prefix array<long>, parts binary")
 
 
 def prefix_groups(described: DataFrame) -> DataFrame:
-    """Prefix n-grams that more than one class has: token, class, n, place, parts."""
+    """Prefix n-grams that more than one class has: token, members, class, n, place."""
     classes = described.filter("n > 0").dropDuplicates(["class"])
     rows = classes.select("class", "n", F.posexplode("prefix").alias("place", "token")).select("token", "class", (F.shiftleft("n", 32) + F.col("place")).alias("np"))
     shared = rows.groupBy("token").agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
-    rows = rows.join(shared, "token").select("token", "members", "class", F.shiftright("np", 32).alias("n"), F.col("np").bitwiseAND(F.lit(0xFFFFFFFF)).alias("place"))
-    return rows.join(described.filter("n > 0").select("class", "parts").dropDuplicates(["class"]), "class")
+    return rows.join(shared, "token").select("token", "members", "class", F.shiftright("np", 32).alias("n"), F.col("np").bitwiseAND(F.lit(0xFFFFFFFF)).alias("place"))
 
 
 def passes(least: int) -> Column:
-    """The filters, for the two sides x and y of a pair that share an n-gram; sizes in either order."""
+    """The length and positional filter, for the sides x and y of a pair that share an n-gram; sizes in either order."""
     small, large = F.least("x.n", "y.n"), F.greatest("x.n", "y.n")
     needed = F.ceil((F.col("x.n") + F.col("y.n")) * least / F.lit(100 + least))
     possible = 1 + F.least(F.col("x.n") - F.col("x.place") - 1, F.col("y.n") - F.col("y.place") - 1)
-    apart = F.aggregate(F.zip_with("x.parts", "y.parts", lambda a, b: F.abs(a - b)), F.lit(0), lambda s, d: s + d)
-    return (small * 100 >= large * least) & (possible >= needed) & (apart <= F.col("x.n") + F.col("y.n") - 2 * needed)
+    return (small * 100 >= large * least) & (possible >= needed)
+
+
+def suffix_filtered(pairs: DataFrame, parts: DataFrame, least: int) -> DataFrame:
+    """Pairs (a, b) whose hash partitions, by size, allow enough common n-grams."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (_sizes(batch.column(c).to_pylist()) for c in ("x", "y"))
+            total = batch.column("m").to_numpy() + batch.column("n").to_numpy()
+            needed = -(-least * total // (100 + least))
+            good = np.abs(x - y).sum(axis=1) <= total - 2 * needed
+            yield batch.select(["a", "b"]).filter(pa.array(good))
+
+    first = parts.select(F.col("class").alias("a"), F.col("n").alias("m"), F.col("parts").alias("x"))
+    second = parts.select(F.col("class").alias("b"), "n", F.col("parts").alias("y"))
+    return pairs.join(first, "a").join(second, "b").mapInArrow(run, "a long, b long")
+
+
+def _sizes(parts: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(parts), np.uint8).reshape(-1, PARTS).astype(np.int16)
 
 
 def _ordered_pair() -> list[Column]:
@@ -165,7 +185,7 @@ def _ordered_pair() -> list[Column]:
 def star_pairs(members: DataFrame, least: int, number: int) -> DataFrame:
     """Each member of a prefix group with the leader of its band of lengths and of the band below, if not joined yet."""
     sides = members.select(
-        "token", F.floor(F.log("n") / F.lit(math.log(100 / least))).alias("band"), F.struct("class", "label", "n", "place", "parts").alias("x"),
+        "token", F.floor(F.log("n") / F.lit(math.log(100 / least))).alias("band"), F.struct("class", "label", "n", "place").alias("x"),
         F.xxhash64("token", "class", F.lit(number)).alias("draw"),
     )
     leaders = sides.groupBy("token", "band").agg(F.min(F.struct("draw", "x")).alias("first")).select("token", "band", F.col("first.x").alias("y"))
@@ -173,10 +193,10 @@ def star_pairs(members: DataFrame, least: int, number: int) -> DataFrame:
     return held.join(leaders, ["token", "band"]).filter(F.col("x.label") != F.col("y.label")).filter(passes(least)).select(*_ordered_pair()).distinct()
 
 
-def left_pairs(members: DataFrame, least: int) -> DataFrame:
+def left_pairs(members: DataFrame, parts: DataFrame, least: int) -> DataFrame:
     """All pairs of a prefix group between components. Groups over ``BLOCK`` are dealt out as pairs of blocks."""
     mixed_groups = members.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("token")
-    rows = members.join(mixed_groups, "token", "left_semi")
+    rows = members.join(mixed_groups, "token", "left_semi").join(parts.select("class", "parts"), "class")
     blocks = F.ceil(F.col("members") / BLOCK)
     own = F.pmod(F.xxhash64("class"), blocks)
     rows = rows.select("*", own.alias("own"), F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("other"))
@@ -207,7 +227,7 @@ def _cross(rows: list[dict], least: int) -> pa.RecordBatch:
         i, j = rows[0]["i"], rows[0]["j"]
         own = np.array([r["own"] for r in rows])
         classes, labels, n, place = (np.array([r["x"][c] for r in rows], np.int64) for c in ("class", "label", "n", "place"))
-        parts = np.array([r["x"]["parts"] for r in rows], np.int64)
+        parts = _sizes([r["x"]["parts"] for r in rows])
         reach = np.searchsorted(n, 100 * n // least, "right")
         index = n - -(-2 * least * n // (100 + least)) + 1
         for a in np.flatnonzero(place < index):
@@ -271,13 +291,19 @@ def verified(pairs: DataFrame, sets: DataFrame, least: int) -> DataFrame:
 def class_labels(docs: DataFrame, described: DataFrame, size: int, least: int) -> DataFrame | None:
     """``node`` (a class that links with another) and ``label``; None if there is none."""
     groups = materialize(prefix_groups(described), "prefix-groups")
+    # Of the classes in prefix groups only.
+    parts = described.filter("n > 0").join(groups.select("class").distinct(), "class", "left_semi").dropDuplicates(["class"])
+    parts = materialize(parts.select("class", "n", "parts"), "partition-sizes")
     judged: list[DataFrame] = []
     labels = None
     for number in range(STAR_ROUNDS + 1):
         members = groups.withColumn("label", F.col("class"))
         if labels is not None:
             members = groups.join(labels, groups["class"] == labels["node"], "left").select(*groups.columns, F.coalesce("label", "class").alias("label"))
-        pairs = star_pairs(members, least, number) if number < STAR_ROUNDS else left_pairs(members, least)
+        if number < STAR_ROUNDS:
+            pairs = suffix_filtered(star_pairs(members, least, number), parts, least)
+        else:
+            pairs = left_pairs(members, parts, least)
         for known in judged:
             pairs = pairs.join(known, ["a", "b"], "left_anti")
         pairs = materialize(pairs, "pairs")
@@ -291,7 +317,7 @@ def class_labels(docs: DataFrame, described: DataFrame, size: int, least: int) -
             links = [known.filter("linked").select("a", "b") for known in judged]
             release(labels)
             labels = materialize(components(reduce(DataFrame.unionByName, links)), "labels")
-    release(groups, *judged)
+    release(groups, parts, *judged)
     return labels
 
 
