@@ -6,7 +6,8 @@ lie on e + 1 adjacent diagonals. So the q-grams of a text that occur in the benc
 diagonals; bands that reach the bound are kept and verified by an alignment inside the band. The filter loses nothing, and the
 alignment leaves nothing wrong.
 
-Characters are compared with A-Z lower-cased and white space as spaces, one for one, so positions are those of the text. The budget is
+Characters are compared without case and with white space as spaces, one for one, so positions are those of the text. A letter whose
+other case is several code points is kept. The budget is
 ``RATE`` of the item's length, less for items so short that the bound would be under ``Q`` q-grams; items under ``Q`` characters are no
 passages and are ignored, as are null items.
 
@@ -20,6 +21,7 @@ ids and the results come back, so other columns cannot clash.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -38,6 +40,8 @@ BITMAP_BITS = 22
 # A region of text and its item, aligned together with others of about the same length.
 ALIGNED_AT_ONCE = 256
 FAR = 1 << 20
+# Code points from here on have no case.
+CASELESS = 0x20000
 
 _B = [np.uint64(pow(0x9E3779B97F4A7C15, n, 1 << 64)) for n in (1, 2, 4)]
 
@@ -56,12 +60,21 @@ class Index(NamedTuple):
     place: np.ndarray
 
 
+def _folded(char: str) -> str:
+    """The small letter of a letter's capital, so that all small forms of a capital are one; never more than one code point."""
+    upper = char.upper()
+    lower = (upper if len(upper) == 1 else char).lower()
+    return lower if len(lower) == 1 else char
+
+
+_SAME = np.arange(sys.maxunicode + 1, dtype=np.uint32)
+_SAME[:CASELESS] = [ord(_folded(chr(i))) for i in range(CASELESS)]
+_SAME[9:14] = 32
+
+
 def characters(text: str) -> np.ndarray:
-    """Code points, with A-Z lower-cased and white space as spaces."""
-    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).copy()
-    codes[(codes >= 65) & (codes <= 90)] += 32
-    codes[(codes >= 9) & (codes <= 13)] = 32
-    return codes
+    """Code points, without case and with white space as spaces."""
+    return _SAME[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)]
 
 
 def gram_codes(codes: np.ndarray) -> np.ndarray:

@@ -73,3 +73,36 @@ def test_odd_rows_slices_and_filter(spark, monkeypatch):
     assert sorted((r.doc_id for r in kept.collect()), key=repr) == sorted((k for k, _, _ in ROWS if k not in leaking), key=repr)
     assert d.find_leaks(documents(spark, []), bench).count() == 0
     assert d.find_leaks(docs, bench.limit(0)).count() == 0 and d.drop_leaking(docs, bench.limit(0)).count() == len(ROWS)
+
+
+def one_for_one(text):
+    """Lower case by letter, where that is one letter."""
+    return "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
+
+
+def test_accented_capitals_are_no_edits(spark):
+    items = [
+        "la niñez soñó mañanas añejas, según él: ¿cuánto más pedirá José?",
+        "où sont passés les élèves zélés dès l'été, à l'école où règne Noël",
+        "größere Bäume blühen später über grünen Hügeln, schöner als früher",
+        "съешь ещё этих мягких французских булок, да выпей чаю; λόγος και μύθος",
+    ]
+    texts = [lead + "".join(c.upper() if len(c.upper()) == 1 else c for c in item) + " FIN" for item in items for lead in ("", "É ", "İİ ")]
+    found = {(t, i): (start, end, distance) for t, i, start, end, distance in d.leaks_in(texts, d.build_index(list(enumerate(items))))}
+    for t, text in enumerate(texts):
+        for i, item in enumerate(items):
+            assert ((t, i) in found) == (i == t // 3)
+        start, end, distance = found[t, t // 3]
+        assert distance == 0 and text[start:end].lower().replace("ς", "σ") == items[t // 3].lower().replace("ς", "σ")
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    assert d.drop_leaking(docs, bench).count() == 0
+
+
+def test_fold_joins_all_that_lower_joins():
+    every = [chr(i) for i in range(0x110000)]
+    folded = "".join(map(chr, d.characters("".join(every))))
+    joined = {}
+    for char, own in zip(every, folded):
+        if char not in "\t\n\v\f\r":
+            assert joined.setdefault(one_for_one(char), own) == own
