@@ -8,6 +8,7 @@ segmentation that ends so, hence segmentations leave the queue best first and th
 The lattice falls apart where no piece crosses from one character to the next: before space marks, and between letters and signs, if
 the vocabulary is so. Parts are searched on their own, and repeated parts once while a worker remembers them. The N best of a whole text deviate from the
 best only in the N - 1 parts whose second segmentation costs least, so lists of these parts are merged and all others keep their best.
+Parts are merged to words and words to the text. Where only the best is asked for, ``best`` finds it without lists.
 
 Scores are those of the vocabulary, so a segmentation's score is the sum over its pieces; a character without a piece costs the lowest
 score of a piece and ``UNKNOWN_COST`` more. Of equal scores the one that the search meets first comes first, always the same for equal
@@ -41,6 +42,10 @@ SPACE = "▁"
 UNKNOWN_COST = 10.0
 # Parts and words that a worker remembers.
 REMEMBERED = 200_000
+# Parts and words whose N best a worker remembers, and the longest of them in characters.
+LISTS, LONGEST = 100_000, 64
+# Segmentations of each text in ``summarize``.
+NBEST = 4
 WORDS = regex.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 PARTS = regex.compile(rf"{SPACE}*\p{{L}}+|{SPACE}*[^\p{{L}}{SPACE}]+|{SPACE}+")
 LETTER = regex.compile(r"\p{L}")
@@ -92,6 +97,8 @@ class Lattice:
         self.text = [p.replace(SPACE, " ") for p in self.pieces]
         self.parts = Remembered(self.part_best, REMEMBERED)
         self.words = Remembered(lambda word: self.word_best(SPACE + word), REMEMBERED)
+        self.part_lists = Remembered(self.search, LISTS)
+        self.word_lists = Remembered(self.word_list, LISTS)
 
     def arcs(self, part: str) -> tuple[list[float], list[list[Arc]]]:
         """Best score of every prefix, and the arcs that end at each place."""
@@ -159,20 +166,26 @@ class Lattice:
 
     def merged(self, lists: list[list[Segmentation]]) -> list[Segmentation]:
         """The N best of all ways to take one segmentation of each list, in the order of the lists."""
-        # The N - 1 lists whose second costs least; a stable order decides between equal costs.
-        open_ = sorted((i for i, x in enumerate(lists) if len(x) > 1), key=lambda i: lists[i][0].score - lists[i][1].score)
-        varied = set(open_[: self.nbest - 1])
-        best = [Segmentation(0.0, ())]
-        run: list[Segmentation] = []
-        for i, choices in enumerate(lists):
-            if i not in varied:
-                run.append(choices[0])
-                continue
-            best = [_joined(b, run) for b in best]
-            run = []
-            ways = (Segmentation(b.score + c.score, b.ids + c.ids) for b in best for c in choices)
-            best = heapq.nsmallest(self.nbest, ways, key=lambda s: -s.score)
-        return [_joined(b, run) for b in best]
+        # The N - 1 lists whose second costs least, the first of equals.
+        open_ = [i for i, x in enumerate(lists) if len(x) > 1]
+        if len(open_) == 1:
+            [at] = open_
+            before, after = [x[0] for x in lists[:at]], [x[0] for x in lists[at + 1 :]]
+            kept = sum(s.score for s in before) + sum(s.score for s in after)
+            front, back = (tuple(chain.from_iterable(s.ids for s in run)) for run in (before, after))
+            return [Segmentation(kept + c.score, front + c.ids + back) for c in lists[at][: self.nbest]]
+        varied = sorted(heapq.nsmallest(self.nbest - 1, open_, key=lambda i: lists[i][0].score - lists[i][1].score))
+        ways: list[tuple[float, tuple[Segmentation, ...]]] = [(0.0, ())]
+        kept, runs, start = 0.0, [], 0
+        for i in [*varied, len(lists)]:
+            run = [x[0] for x in lists[start:i]]
+            kept += sum(s.score for s in run)
+            runs.append(tuple(chain.from_iterable(s.ids for s in run)))
+            start = i + 1
+        for i in varied:
+            longer = ((score + c.score, taken + (c,)) for score, taken in ways for c in lists[i])
+            ways = sorted(longer, key=_total, reverse=True)[: self.nbest]
+        return [Segmentation(kept + score, runs[0] + tuple(chain.from_iterable(c.ids + run for c, run in zip(taken, runs[1:])))) for score, taken in ways]
 
     def cut(self, word: str) -> list[str]:
         """Parts of letters or of other signs, with the space marks before them."""
@@ -243,11 +256,19 @@ class Lattice:
         score, gap = sum(scores), min(gaps, default=ALONE)
         return score, array("i", chain.from_iterable(ids)), None if gap == ALONE else score - gap
 
+    def part_list(self, part: str) -> list[Segmentation]:
+        return self.part_lists[part] if len(part) <= LONGEST else self.search(part)
+
+    def word_list(self, word: str) -> list[Segmentation]:
+        """The N best segmentations of some parts."""
+        parts = self.cut(word)
+        return self.part_list(parts[0]) if len(parts) == 1 else self.merged(list(map(self.part_list, parts)))
+
     def encode(self, text: str) -> list[Segmentation]:
         """The N best segmentations of a whole text."""
         normal = self.normalize(text)
         words = WORDS.findall(normal) if self.by_word else [normal] if normal else []
-        return self.merged([self.search(part) for word in words for part in self.cut(word)])
+        return self.merged([self.word_lists[w] if len(w) <= LONGEST else self.word_list(w) for w in words])
 
     def decode(self, ids) -> str:
         if self.bytes.keys().isdisjoint(ids):
@@ -269,12 +290,6 @@ def _total(entry: tuple) -> float:
     return entry[0]
 
 
-def _joined(first: Segmentation, rest: list[Segmentation]) -> Segmentation:
-    if not rest:
-        return first
-    return Segmentation(first.score + sum(s.score for s in rest), first.ids + tuple(chain.from_iterable(s.ids for s in rest)))
-
-
 _lattices: dict[tuple[str, int], Lattice] = {}
 
 
@@ -300,19 +315,25 @@ def _mapped(docs: DataFrame, id_col: str, text_col: str, schema: str, judge) ->
     return rows.mapInArrow(run, f"id {id_type}, {schema}").withColumnRenamed("id", id_col)
 
 
-def summarize(docs: DataFrame, model: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, pieces, score and digest of the ids of the best segmentation, score of the second, whether decoding gives the text back."""
+def summarize(docs: DataFrame, model: str, nbest: int = NBEST, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id, pieces, score and digest of the ids of the best segmentation, score of the second, whether decoding gives the text back, and
+    the scores and digests of all ``nbest`` segmentations, best first."""
 
     def judge(texts: list[str | None]):
-        own = lattice(model, 2)
+        own = lattice(model, nbest)
         rows = []
         for text in texts:
-            score, ids, second = own.best(text or "")
-            rows.append((len(ids), score, second, sha256(ids.tobytes()).hexdigest(), own.decode(ids) == (text or "")))
+            found = own.encode(text or "")
+            scores = [s.score for s in found]
+            digests = [sha256(array("i", s.ids).tobytes()).hexdigest() for s in found]
+            second = scores[1] if len(scores) > 1 else None
+            rows.append((len(found[0].ids), scores[0], second, digests[0], own.decode(found[0].ids) == (text or ""), scores, digests))
         kinds = {"n_pieces": pa.int64(), "score": pa.float64(), "second_score": pa.float64(), "ids_sha256": pa.string(), "round_trip": pa.bool_()}
+        kinds |= {"nbest_scores": pa.list_(pa.float64()), "nbest_sha256": pa.list_(pa.string())}
         return kinds, [pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds.values())]
 
-    return _mapped(docs, id_col, text_col, "n_pieces long, score double, second_score double, ids_sha256 string, round_trip boolean", judge)
+    best = "n_pieces long, score double, second_score double, ids_sha256 string, round_trip boolean"
+    return _mapped(docs, id_col, text_col, f"{best}, nbest_scores array<double>, nbest_sha256 array<string>", judge)
 
 
 def encode(docs: DataFrame, model: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -1,12 +1,15 @@
 """Segmentations against all paths of the lattice; round trips."""
 
+import hashlib
 import random
+from array import array
 
 import public_tokenizers
 import pytest
 from cases import ROWS, documents
 
 from buildscope.llm import piece_lattice
+from buildscope.llm.workload import QUERIES
 
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
 PARTS = ["a", "th", "e", "r", "in", " ", "  ", ".", "é", "日", "🙂", "\n", "ing", "=="]
@@ -71,3 +74,33 @@ def test_tables(spark):
 def test_a_literal_space_mark_becomes_a_space(spark):
     row = piece_lattice.summarize(documents(spark, [(1, "a▁b", "en")]), MODEL).first()
     assert not row.round_trip and piece_lattice.lattice(MODEL, 2).decode(piece_lattice.lattice(MODEL, 2).best("a▁b")[1]) == "a b"
+
+
+def test_rows_hold_every_segmentation(spark):
+    texts = ["", "the cat, sat.", "thing in  there==", "日 é\n🙂 ering", "word1 alpha1 word2, alpha2 word3"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for nbest in (None, 1, 7):
+        rows = piece_lattice.summarize(docs, MODEL, *[nbest] * (nbest is not None)).collect()
+        lattice = piece_lattice.Lattice(MODEL, nbest or piece_lattice.NBEST)
+        for row in rows:
+            normal = lattice.normalize(texts[row.doc_id])
+            words = piece_lattice.WORDS.findall(normal)
+            # Paths of the words before, times those of a word: only the best of them can be in the best of the whole.
+            paths = [(0.0, ())]
+            for word in words:
+                paths = sorted(((a + b, c + d) for a, c in paths for b, d in all_paths(lattice, word)), key=lambda p: -p[0])[:3_000]
+            assert row.nbest_scores == [score for score, _ in paths[: lattice.nbest]]
+            assert len(row.nbest_sha256) == len(set(row.nbest_sha256)) == len(row.nbest_scores)
+            named = {(score, hashlib.sha256(array("i", ids).tobytes()).hexdigest()) for score, ids in paths}
+            assert set(zip(row.nbest_scores, row.nbest_sha256)) <= named
+            assert (row.score, row.ids_sha256) == (row.nbest_scores[0], row.nbest_sha256[0])
+            assert row.second_score == (row.nbest_scores + [None, None])[1]
+            assert lattice.best(texts[row.doc_id])[1].tobytes() == array("i", lattice.encode(texts[row.doc_id])[0].ids).tobytes()
+    assert piece_lattice.NBEST > 2
+
+
+def test_the_query_searches_every_text(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "the cat sat, thinking"), (2, None), (3, "in")], "doc_id long, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    found = {r.doc_id: r for r in QUERIES["op10_sentencepiece"](spark, str(tmp_path)).collect()}
+    assert [len(found[k].nbest_sha256) for k in (1, 2)] == [piece_lattice.NBEST, 1]
