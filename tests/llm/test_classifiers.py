@@ -124,3 +124,14 @@ def test_sample_is_bounded_and_even(spark):
     counts = {label: sum(x == label for _, x in sample) for label in "ab"}
     assert len(sample) <= 200 and counts["a"] >= 70 and counts["b"] >= 70
     assert labelled_sample(rows.limit(0), "lang", "text", 10, 10) == []
+
+
+def test_held_out_labels_change_no_score(spark, tmp_path):
+    docs = [(i, f"words of text {i} " + ("good prose here " if i % 2 else "$$ %% junk ") * 5) for i in range(60)]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = []
+    for held_out in (0, 1):
+        labels = [(i, held_out if fold(i, 3) == 1 else i % 2) for i, _ in docs]
+        spark.createDataFrame(labels, "doc_id long, quality int").write.mode("overwrite").parquet(f"{tmp_path}/labels.parquet")
+        found.append({r.doc_id: r.score for r in QUERIES["op6_quality"](spark, str(tmp_path)).collect()})
+    assert found[0] == found[1]
