@@ -1,7 +1,8 @@
 """Suffix-array dedup: removes every byte of a passage of ``WINDOW`` bytes that also starts anywhere else.
 
-A suffix array cut at ``WINDOW`` tokens would put equal windows side by side. Only this grouping is needed, and it is found by passes
-over digits, the longest shared digit first, in which whatever is alone in its group drops out:
+A suffix array cut at ``WINDOW`` bytes, or radix passes that order suffixes, would put equal windows side by side. Only this grouping is
+needed, and it is found without ordering suffixes: by anchors (winnowing), where whatever is alone in its group drops out. A digit is
+here the string of an anchor:
 
 1. *Anchor digit.* Of the ``DIGIT``-byte strings inside a window the one of least hash is its anchor (leftmost among equals), so equal
    windows have equal anchors at equal offsets. Anchors are few, one in about fifty places, and only they are shuffled. An anchor whose
