@@ -1,0 +1,82 @@
+"""Cuts by the skip list against slices of the list of lines, and texts built again from the output."""
+
+import hashlib
+import random
+import re
+
+import numpy as np
+import pytest
+from cases import ROWS, collected, documents
+
+from buildscope.llm import fill_in_middle as f
+from buildscope.llm.workload import fill_in_middle_digests
+
+
+def plain(key, text, rate=100, spm_rate=50):
+    """The contract, word by word."""
+    text = text or ""
+    units = re.findall(r"[^\n]*\n|[^\n]+", text)
+    digest = hashlib.sha256(b"7:" + (b"" if key is None else str(key).encode())).hexdigest()
+    h = [int(digest[8 * i : 8 * i + 8], 16) for i in range(4)]
+    n = len(units)
+    if text == "" or re.search("<P>|<S>|<M>", text) or h[2] % 100 >= rate:
+        return n, "plain", None, None, text
+    low, high = sorted(x % (n + 1) for x in h[:2])
+    p, m, s = "".join(units[:low]), "".join(units[low:high]), "".join(units[high:])
+    if h[3] % 100 < spm_rate:
+        return n, "spm", len(p), len(m), f"<S>{s}<P>{p}<M>{m}"
+    return n, "psm", len(p), len(m), f"<P>{p}<S>{s}<M>{m}"
+
+
+def texts(number=300, seed=5):
+    draw = random.Random(seed)
+    parts = ["\n", "\n\n", "a", "é", "🙂", "word ", "\r", "<", "<P", "P>", ">", "<S", "M>", " ", "\x0b"]
+    return ["".join(draw.choice(parts) for _ in range(draw.randint(0, 60))) for _ in range(number)]
+
+
+@pytest.mark.parametrize("units", [0, 1, 2, 3, 7, 64, 1000, 20_000])
+def test_every_rank_starts_where_the_sum_says(units):
+    lengths = np.random.default_rng(units).integers(0, 9, units)
+    found = f.SkipList(lengths)
+    starts = np.concatenate(([0], np.cumsum(lengths)))
+    ranks = range(units + 1) if units < 2000 else range(0, units + 1, 37)
+    assert [found.start(r) for r in ranks] == [int(starts[r]) for r in ranks]
+
+
+def test_lanes_are_few_and_descents_short():
+    found = f.SkipList(np.ones(1 << 16, np.int64))
+    assert len(found.lanes) < 40
+    for depth, (units, points, _) in enumerate(found.lanes):
+        assert units.sum() == points.sum() == 1 << 16, depth
+        assert depth == 0 or len(units) < 0.7 * len(found.lanes[depth - 1][0]) + 8
+
+
+@pytest.mark.parametrize("rate, spm_rate", [(100, 50), (60, 10), (0, 50)])
+def test_against_plain(spark, rate, spm_rate):
+    rows = list(enumerate([*texts(), "<P>", "x<M>\n", "\n" * 3000, "é" * 5000 + "\n", None, ""]))
+    found = f.transform(spark.createDataFrame(rows, "doc_id long, text string"), rate=rate, spm_rate=spm_rate)
+    assert collected(found) == sorted(((k, *plain(k, t, rate, spm_rate)) for k, t in rows), key=repr)
+
+
+def test_odd_rows_and_restoring(spark):
+    digest = lambda t: hashlib.sha256((t or "").encode()).hexdigest()
+    expected = []
+    for key, text, _ in ROWS:
+        n, form, a, b, output = plain(key, text)
+        expected.append((key, n, form, a, b, digest(output), digest(text)))
+    assert collected(fill_in_middle_digests(documents(spark))) == sorted(expected, key=repr)
+    assert fill_in_middle_digests(documents(spark, [])).count() == 0
+
+
+def test_restored_where_texts_meet_marks(spark):
+    rows = list(enumerate(texts(400, seed=9)))
+    found = fill_in_middle_digests(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.restored_sha256 for r in found} == {hashlib.sha256(t.encode()).hexdigest() for _, t in rows}
+    assert {r.form for r in found} >= {"psm", "spm"}
+
+
+def test_text_ids_and_no_shuffle(spark):
+    docs = spark.createDataFrame([("doc-1", "a\nb\nc"), ("doc-2", "x")], "doc_id string, text string")
+    found = f.transform(docs)
+    assert collected(found) == sorted((k, *plain(k, t)) for k, t in [("doc-1", "a\nb\nc"), ("doc-2", "x")])
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
