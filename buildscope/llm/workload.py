@@ -7,8 +7,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from buildscope.llm import decontaminate, fingerprints, jaccard_join, language_id, piece_lattice, quality, repeats, secret_scan, token_counts, url_rules
-from buildscope.llm.common import table
+from buildscope.llm import (
+    decontaminate, fill_in_middle, fingerprints, jaccard_join, language_id, piece_lattice, quality, ranked_search, repeats, secret_scan,
+    source_mix, token_counts, url_rules,
+)
+from buildscope.llm.common import sha256_of, table
 from buildscope.llm.samples import remainder
 
 URL_RULES = [
@@ -77,6 +80,32 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_lattice.summarize(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def fill_in_middle_digests(docs: DataFrame) -> DataFrame:
+    made = fill_in_middle.transform(docs)
+    digests = [sha256_of(F.col("output")).alias("output_sha256"), sha256_of(fill_in_middle.restored(F.col("output"), F.col("form"))).alias("restored_sha256")]
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *digests)
+
+
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_in_middle_digests(table(spark, sf_dir, "documents"))
+
+
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = ranked_search.build_index(table(spark, sf_dir, "documents"))
+    return ranked_search.search(index, table(spark, sf_dir, "benchmark"), 10)
+
+
+def words_taken(docs: DataFrame) -> DataFrame:
+    """One row per document, in the order of training: by its first position, those that are not taken last."""
+    taken = F.aggregate("taken", F.lit(0).cast("long"), lambda sum_, o: sum_ + o["words"])
+    rows = source_mix.mix(docs).select("doc_id", "size", "source_size", "target", taken.alias("taken"), F.try_element_at("taken", F.lit(1))["position"].alias("first_position"))
+    return rows.orderBy(F.asc_nulls_last("first_position"), "doc_id")
+
+
+def op13_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return words_taken(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "pipeline": corpus_pipeline.run,
     "op1_repeats": op1_repeats,
@@ -89,6 +118,9 @@ QUERIES = {
     "op8_jaccard_join": op8_jaccard_join,
     "op9_decontaminate": op9_decontaminate,
     "op10_sentencepiece": op10_sentencepiece,
+    "op11_fill_in_middle": op11_fill_in_middle,
+    "op12_ranked_search": op12_ranked_search,
+    "op13_source_mix": op13_source_mix,
 }
 
 _RULES = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in URL_RULES)
@@ -130,7 +162,61 @@ SELECT doc_id, {zeros}, coalesce(base_sha256, sha256('')) AS base_sha256, coales
 FROM docs LEFT JOIN counted USING (n) LEFT JOIN listed USING (n)"""
 
 
+_TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+_LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+def _sql_positions() -> str:
+    """The formula of ``source_mix.position`` for the share x of each schedule."""
+    turns = []
+    for turn, schedule in enumerate(source_mix.SCHEDULES):
+        sums = source_mix._integrals(schedule)
+        whens = []
+        for i, ((t0, w0), (t1, w1)) in enumerate(zip(schedule, schedule[1:])):
+            rest = f"(x * {sums[-1]!r}::DOUBLE - {sums[i]!r}::DOUBLE)"
+            slope = (w1 - w0) / (t1 - t0)
+            t = f"least(CASE WHEN {rest} > 0 THEN {rest} * 2 / (sqrt(greatest({w0 * w0!r}::DOUBLE + {rest} * {2 * slope!r}::DOUBLE, 0::DOUBLE)) + {w0!r}::DOUBLE) ELSE 0 END + {t0!r}::DOUBLE, {t1!r}::DOUBLE)"
+            whens.append(f"WHEN x * {sums[-1]!r}::DOUBLE < {sums[i + 1]!r}::DOUBLE THEN {t}" if i < len(schedule) - 2 else f"ELSE {t}")
+        turns.append(f"WHEN number % {len(source_mix.SCHEDULES)} = {turn} THEN CASE {' '.join(whens)} END" if len(whens) > 1 else f"WHEN number % {len(source_mix.SCHEDULES)} = {turn} THEN {whens[0][5:]}")
+    return f"CASE {' '.join(turns)} END"
+
+
 SQL = {
+    "op11_fill_in_middle": r"""
+WITH cut AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS units, sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS digits FROM documents),
+drawn AS (SELECT *, len(units) AS n, CAST('0x' || digits[1:8] AS BIGINT) AS h1, CAST('0x' || digits[9:16] AS BIGINT) AS h2, CAST('0x' || digits[17:24] AS BIGINT) AS h3, CAST('0x' || digits[25:32] AS BIGINT) AS h4 FROM cut),
+ranks AS (SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS low, greatest(h1 % (n + 1), h2 % (n + 1)) AS high,
+  CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 100 THEN 'plain' WHEN h4 % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM drawn),
+parts AS (SELECT *, array_to_string(units[1:low], '') AS p, array_to_string(units[low + 1:high], '') AS m, array_to_string(units[high + 1:], '') AS s FROM ranks)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form, CAST(CASE WHEN form <> 'plain' THEN length(p) END AS BIGINT) AS prefix_chars, CAST(CASE WHEN form <> 'plain' THEN length(m) END AS BIGINT) AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256, sha256(text) AS restored_sha256
+FROM parts""",
+    "op12_ranked_search": f"""
+WITH words AS (SELECT doc_id, row_number() OVER () AS row, regexp_extract_all({_LOWERED}, '{_TERM}') AS terms FROM documents),
+docs AS (SELECT doc_id, row, terms, len(terms) AS n FROM words WHERE len(terms) > 0),
+totals AS (SELECT count(*) AS N_, CAST(sum(n) AS BIGINT) AS L_ FROM docs),
+counts AS (SELECT row, term, count(*) AS tf FROM (SELECT row, unnest(terms) AS term FROM docs) GROUP BY row, term),
+weights AS (SELECT term, CAST(floor(1000 * ln((2 * N_ + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE)) AS BIGINT) AS w FROM counts, totals GROUP BY term, N_),
+items AS (SELECT DISTINCT item_id, unnest(regexp_extract_all({_LOWERED}, '{_TERM}')) AS term FROM benchmark),
+scores AS (SELECT item_id, row, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + ((90 * n * N_) // L_))))) AS BIGINT) AS score
+  FROM items JOIN counts USING (term) JOIN weights USING (term) JOIN docs USING (row), totals GROUP BY item_id, row),
+ranked AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id ASC NULLS LAST) AS INTEGER) AS rank, doc_id, score FROM scores JOIN docs USING (row) WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 10""",
+    "op13_source_mix": rf"""
+WITH sized AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size, md5(coalesce(text, '')) AS th FROM documents),
+copied AS (SELECT *, row_number() OVER (PARTITION BY source, doc_id, size, th) - 1 AS j FROM sized),
+keyed AS (SELECT *, md5('13:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || th || ':' || (j // {source_mix.BLOCK})) AS digest FROM copied),
+starts AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY digest, doc_id, size, th, j ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM keyed),
+sizes AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS number FROM sized GROUP BY source),
+weighed AS (SELECT *, [3.0::DOUBLE, 1.0::DOUBLE, 2.0::DOUBLE][number % 3 + 1] AS weight, source_size * 2.0::DOUBLE AS cap FROM sizes),
+remaining AS (SELECT *, sum(source_size) OVER () * 1.5::DOUBLE - coalesce(sum(cap) OVER earlier, 0) AS words_left, sum(weight) OVER () - coalesce(sum(weight) OVER earlier, 0) AS weights_left
+  FROM weighed WINDOW earlier AS (ORDER BY cap / weight, number ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+opened AS (SELECT *, CASE WHEN words_left / weights_left * weight <= cap THEN words_left / weights_left END AS level FROM remaining),
+aimed AS (SELECT source, source_size, number, coalesce(least(cap, max(level) OVER () * weight), cap) AS target FROM opened),
+taken AS (SELECT doc_id, size, source_size, target, number, start, greatest(0, least(size, floor(target) - start)) + greatest(0, least(size, floor(target) - start - source_size)) AS taken
+  FROM starts JOIN aimed ON starts.source IS NOT DISTINCT FROM aimed.source),
+shares AS (SELECT *, CASE WHEN target > 0 THEN start / target END AS x FROM taken)
+SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target, CAST(taken AS BIGINT) AS taken, CASE WHEN taken > 0 THEN {_sql_positions()} END AS first_position FROM shares""",
     "op3_secret_scan": _sql_secrets(),
     "op2_url_filter": f"""
 WITH rules(rule_host, rule_path, rule_verdict) AS (VALUES {_RULES}),
