@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 # Bytes of text that a task turns into arrays at once, unless one text is longer.
 CHUNK_BYTES = 1 << 20
@@ -20,6 +21,11 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def arrow_type(df: DataFrame, column: str) -> pa.DataType:
+    """The Arrow type in which the column comes to a worker."""
+    return to_arrow_type(df.schema[column].dataType)
+
+
 def sha256_of(text: Column) -> Column:
     return F.sha2(text.cast("binary"), 256)
 
@@ -64,3 +70,7 @@ class Remembered(dict):
             self.clear()
         self[key] = value
         return value
+
+    def forget(self) -> None:
+        self.clear()
+        self.old = {}

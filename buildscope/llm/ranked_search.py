@@ -43,7 +43,7 @@ from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from buildscope.llm.common import chunks
+from buildscope.llm.common import arrow_type, chunks
 from buildscope.plans.tables import materialize
 
 #: Fixed value: what a term is.
@@ -242,7 +242,7 @@ def search(
 ) -> DataFrame:
     """The k documents of highest score of each item: item id, rank from 1, document id, score."""
     spark = index.rows.sparkSession
-    id_type = index.rows.schema["id"].dataType.simpleString()
+    id_type, to_arrow = index.rows.schema["id"].dataType.simpleString(), arrow_type(index.rows, "id")
     item_type = items.schema[item_col].dataType
     out = spark.createDataFrame([], f"item {item_type.simpleString()}, rank int, id {id_type}, score long")
     for slice_ in filter(None, _items(items, item_col, item_text)):
@@ -262,7 +262,6 @@ def search(
             kinds = (pa.int64(), to_arrow, pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, kinds)], ["number", "id", "score"])
 
-        to_arrow = _arrow_type(index.rows)
         found = index.rows.mapInArrow(run, f"number long, id {id_type}, score long")
         order = Window.partitionBy("number").orderBy(F.desc("score"), F.asc_nulls_last("id"))
         ranked = found.select("*", F.row_number().over(order).alias("rank")).filter(F.col("rank") <= k)
@@ -270,7 +269,3 @@ def search(
         out = out.unionByName(ranked.join(F.broadcast(names), "number").select("item", "rank", "id", "score"))
     return out.withColumnsRenamed({"item": item_col, "id": id_col})
 
-
-def _arrow_type(rows: DataFrame) -> pa.DataType:
-    """The Arrow type of the id column."""
-    return rows.select("id").limit(0).toArrow().schema.field("id").type

@@ -20,6 +20,7 @@ from bisect import bisect_right
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -68,7 +69,7 @@ def judge_urls(pages: DataFrame, rules: DataFrame, *, id_col: str = "page_id", u
         events.unionByName(opened)
         .repartition(partitions(spark), "range")
         .sortWithinPartitions("range", "key", "kind", "path")
-        .mapInPandas(lambda batches: _sweep(batches, default), f"id {id_type}, host string, path string, rule string, verdict string")
+        .mapInArrow(lambda batches: _sweep(batches, default), f"id {id_type}, host string, path string, rule string, verdict string")
     )
     return swept.withColumnRenamed("id", id_col)
 
@@ -98,26 +99,29 @@ class _Level:
         return next((path[:n] for n in self.lengths if path[:n] in self.rules), None)
 
 
-def _sweep(batches: Iterator[pd.DataFrame], default: str) -> Iterator[pd.DataFrame]:
+def _sweep(batches: Iterator[pa.RecordBatch], default: str) -> Iterator[pa.RecordBatch]:
+    """Verdicts of the urls among the rows. Ids are taken over as they are, never turned into Python or pandas values."""
     stack: list[_Level] = []
     current = None
+    names = ["range", "key", "kind", "host", "path", "verdict"]
     for batch in batches:
         found: list[tuple] = []
-        for row in batch.itertuples(index=False):
-            if row.range != current:
-                current, stack = row.range, []
-            while stack and not row.key.startswith(stack[-1].key):
+        for at, (part, key, kind, host, path, verdict) in enumerate(zip(*(batch.column(c).to_pylist() for c in names))):
+            if part != current:
+                current, stack = part, []
+            while stack and not key.startswith(stack[-1].key):
                 stack.pop()
-            if row.kind == 0:
-                if not stack or stack[-1].key != row.key:
-                    stack.append(_Level(row.key, row.host))
-                stack[-1].add(row.path, row.verdict)
+            if kind == 0:
+                if not stack or stack[-1].key != key:
+                    stack.append(_Level(key, host))
+                stack[-1].add(path, verdict)
                 continue
             best = None
             for level in stack:
-                path = level.longest(row.path)
-                if path is not None and (best is None or len(level.host) + len(path) >= best[0]):
-                    best = (len(level.host) + len(path), level.host + path, level.rules[path])
-            found.append((row.id, row.host, row.path, best and best[1], best[2] if best else default))
-        out = pd.DataFrame(found, columns=["id", "host", "path", "rule", "verdict"], dtype=object)
-        yield out
+                longest = level.longest(path)
+                if longest is not None and (best is None or len(level.host) + len(longest) >= best[0]):
+                    best = (len(level.host) + len(longest), level.host + longest, level.rules[longest])
+            found.append((at, host, path, best and best[1], best[2] if best else default))
+        texts = [pa.array([f[i] for f in found], pa.string()) for i in range(1, 5)]
+        ids = batch.column("id").take(pa.array([f[0] for f in found], pa.int64()))
+        yield pa.RecordBatch.from_arrays([ids, *texts], ["id", "host", "path", "rule", "verdict"])

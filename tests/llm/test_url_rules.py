@@ -2,6 +2,7 @@
 
 import random
 
+import pytest
 from cases import collected
 
 from buildscope.llm import url_rules
@@ -49,3 +50,12 @@ def test_equal_rules_null_rules_and_empty_tables(spark):
     assert {r.verdict for r in url_rules.judge_urls(pages, rules).collect()} == {"block"}
     assert url_rules.judge_urls(pages.limit(0), rules).count() == 0
     assert [r.rule for r in url_rules.judge_urls(pages, rules.limit(0)).collect()] == [None, None]
+
+
+@pytest.mark.parametrize("kind, ids", [("long", [2**53 + 1, 2**53 + 3, None, -5, 2**63 - 1]), ("string", ["b", None, "a", "", "é"]), ("int", [1, 2, None, 4, 5])])
+def test_ids_of_any_type_stay_as_they_are(spark, kind, ids):
+    pages = spark.createDataFrame([(key, f"http://a{i}.org/x") for i, key in enumerate(ids)], f"page_id {kind}, url string")
+    rules = spark.createDataFrame([("org", "/", "block")], "host string, path string, verdict string")
+    found = url_rules.judge_urls(pages, rules)
+    assert found.schema["page_id"].dataType.simpleString() == pages.schema["page_id"].dataType.simpleString()
+    assert {(r.page_id, r.host, r.verdict) for r in found.collect()} == {(key, f"a{i}.org", "block") for i, key in enumerate(ids)}
