@@ -14,8 +14,8 @@ passages and are ignored, as are null items.
 The index of the benchmark is broadcast in slices of at most ``SLICE_CHARS`` characters, so memory is bounded whatever its size; each
 slice is held against all whole texts.
 
-Defined results: null and empty texts leak nothing; equal texts get equal results, row by row; ids may be null or repeated (items with
-equal ids are told apart by their text); of several stretches the one of least distance is reported, the leftmost of equals. Only the
+Defined results: null and empty texts leak nothing; equal texts get equal results, row by row; ids may be null or repeated; a
+repeated item counts once, and items with equal ids are one item of several texts, a leak of any of which is a leak of it; of several stretches the one of least distance is reported, the leftmost of equals. Only the
 ids and the results come back, so other columns cannot clash.
 """
 
@@ -31,7 +31,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from buildscope.llm.common import chunks
+from buildscope.llm.common import arrow_type, chunks
 
 Q = 10
 RATE = 0.06
@@ -247,11 +247,13 @@ def _anchored(items: list[np.ndarray], regions: list[np.ndarray], edits: int) ->
 
 
 def leaks_in(texts: list[str], index: Index) -> list[tuple[int, int, int, int, int]]:
-    """The best stretch of each text and item: text, item, start, end, distance."""
+    """The best stretch of each text and item id: text, (first) item of the id, start, end, distance."""
     codes = [characters(t) for t in texts]
+    first: dict[object, int] = {}
+    same = [first.setdefault(key, at) for at, key in enumerate(index.ids)]
     best: dict[tuple[int, int], tuple[int, int, int]] = {}
     for text, item, start, end, distance in verify(candidates(codes, index), codes, index):
-        key = (text, item)
+        key = (text, same[item])
         if key not in best or (distance, start, end) < best[key]:
             best[key] = (distance, start, end)
     return [(text, item, start, end, distance) for (text, item), (distance, start, end) in sorted(best.items())]
@@ -262,12 +264,12 @@ def find_leaks(
 ) -> DataFrame:
     """id, item id, start, end (code points, end exclusive) and edit distance of every leak."""
     id_type = docs.schema[id_col].dataType.simpleString()
-    item_type = benchmark.schema[item_col].dataType.simpleString()
+    item_type, in_arrow = benchmark.schema[item_col].dataType.simpleString(), arrow_type(benchmark, item_col)
     schema = f"id {id_type}, item {item_type}, start long, end long, distance long"
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter(F.length("text") >= Q)
     out = None
     for shared in _indexes(benchmark, item_col, item_text):
-        found = rows.mapInArrow(lambda batches, shared=shared: _search(batches, shared.value, schema), schema)
+        found = rows.mapInArrow(lambda batches, shared=shared: _search(batches, shared.value, in_arrow), schema)
         out = found if out is None else out.unionByName(found)
     return out.withColumnsRenamed({"id": id_col, "item": item_col})
 
@@ -287,18 +289,18 @@ def drop_leaking(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text
 
 def _indexes(benchmark: DataFrame, item_col: str, item_text: str) -> Iterator[Broadcast]:
     """Indexes of the benchmark, of about ``SLICE_CHARS`` characters each, on all executors."""
-    items = benchmark.select(F.col(item_col).alias("item"), F.col(item_text).alias("text")).dropna(subset=["text"])
+    items = benchmark.select(F.col(item_col).alias("item"), F.col(item_text).alias("text")).dropna(subset=["text"]).distinct()
     size = items.agg(F.sum(F.length("text"))).first()[0] or 0
     slices = max(1, -(-size // SLICE_CHARS))
     for number in range(slices):
-        part = items.filter(F.pmod(F.xxhash64("item", "text"), F.lit(slices)) == number)
+        part = items.filter(F.pmod(F.xxhash64("item"), F.lit(slices)) == number)
         yield benchmark.sparkSession.sparkContext.broadcast(build_index(sorted(((r.item, r.text) for r in part.collect()), key=repr)))
 
 
-def _search(batches: Iterator[pa.RecordBatch], index: Index, schema: str) -> Iterator[pa.RecordBatch]:
+def _search(batches: Iterator[pa.RecordBatch], index: Index, item_type: pa.DataType) -> Iterator[pa.RecordBatch]:
     for batch in chunks(batches):
         found = leaks_in([t or "" for t in batch.column("text").to_pylist()], index)
         ids = batch.column("id").take(pa.array([f[0] for f in found], pa.int64()))
         places = [pa.array([f[i] for f in found], pa.int64()) for i in (2, 3, 4)]
         items = [index.ids[f[1]] for f in found]
-        yield pa.RecordBatch.from_arrays([ids, pa.array(items, pa.int64() if "item bigint" in schema else None), *places], ["id", "item", "start", "end", "distance"])
+        yield pa.RecordBatch.from_arrays([ids, pa.array(items, item_type), *places], ["id", "item", "start", "end", "distance"])

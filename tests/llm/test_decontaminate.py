@@ -1,7 +1,9 @@
 """Leaks against the full table of edit distances."""
 
 import random
+from decimal import Decimal
 
+import pytest
 from cases import ROWS, documents, random_texts
 
 from buildscope.llm import decontaminate as d
@@ -106,3 +108,16 @@ def test_fold_joins_all_that_lower_joins():
     for char, own in zip(every, folded):
         if char not in "\t\n\v\f\r":
             assert joined.setdefault(one_for_one(char), own) == own
+
+
+@pytest.mark.parametrize("kind, ids", [("int", [1, 2]), ("string", ["x", "y"]), ("decimal(12,2)", [Decimal("1.50"), Decimal("2.00")]), ("long", [2**53 + 1, None])])
+def test_item_ids_of_any_type_and_repeated_items(spark, kind, ids):
+    first, second = "the first passage of a benchmark, long enough to be found", "quite another passage with words of its own inside"
+    items = [(ids[0], first), (ids[0], first), (ids[1], second), (ids[1], first), (ids[0], None)]
+    bench = spark.createDataFrame(items, f"item_id {kind}, text string")
+    docs = spark.createDataFrame([(7, f"before {first} after"), (8, f"{second} {second}"), (9, "clean")], "doc_id int, text string")
+    found = d.find_leaks(docs, bench)
+    assert dict(found.dtypes)["item_id"] == bench.schema["item_id"].dataType.simpleString()
+    got = sorted(((r.doc_id, r.item_id, r.start, r.distance) for r in found.collect()), key=repr)
+    assert got == sorted([(7, ids[0], 7, 0), (7, ids[1], 7, 0), (8, ids[1], 0, 0)], key=repr)
+    assert [r.doc_id for r in d.drop_leaking(docs, bench).collect()] == [9]
