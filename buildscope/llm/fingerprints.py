@@ -33,6 +33,8 @@ SEED = 977
 EMPTY = "-"
 # Ranges of ids for each partition of a shuffle; they decide the layout only.
 RANGES_PER_PARTITION = 16
+# Keys per range that are read to choose the split points. They decide the layout only.
+SPLIT_SAMPLE = 8
 #: The steps of ln(a) that a sample's rank tells apart, to the unit.
 STEPS = float(1 << 20)
 
@@ -78,10 +80,25 @@ def _constant(values: list) -> Column:
     return F.from_json(F.lit(json.dumps(values)), "array<bigint>")
 
 
-def _points_from(value: Column, points: list[int]) -> Column:
+def _parsed(values: list[str], kind: str) -> Column:
+    """A constant array of values that were written as JSON."""
+    return F.from_json(F.lit("[" + ",".join(values) + "]"), f"array<{kind}>")
+
+
+def _split_points(keys: DataFrame, ranges: int) -> list[str]:
+    """At most ``ranges - 1`` keys, descending and as JSON, that cut the rows into about equal shares: from a sample by hash."""
+    tie = F.pmod(F.xxhash64("key.id", "key.h"), F.lit(1 << 30))
+    share = min(1.0, SPLIT_SAMPLE * ranges / max(1, keys.count()))
+    chosen = keys.filter(tie < int(share * (1 << 30))).distinct().orderBy(F.desc("key")).limit(2 * SPLIT_SAMPLE * ranges)
+    sample = [r.key for r in chosen.select(F.to_json("key").alias("key")).collect()]
+    step = max(1, len(sample) // ranges)
+    return sample[step::step][: ranges - 1]
+
+
+def _points_from(value: Column, points: list[str], kind: str) -> Column:
     """How many of the descending ``points`` are no smaller than ``value``, by halving."""
     steps = [1 << i for i in reversed(range(len(points).bit_length()))]
-    descending = _constant(points)
+    descending = _parsed(points, kind)
 
     def halve(at: Column, step: Column) -> Column:
         further = F.when(at + step <= len(points), F.element_at(descending, F.least(at + step, F.lit(len(points)))) >= value).otherwise(False)
@@ -98,22 +115,24 @@ def ordered(docs: DataFrame, id_col: str) -> DataFrame:
     finds its successor where it is. Equal ids are ordered by text; null ids come last.
     """
     ranges = RANGES_PER_PARTITION * partitions(docs.sparkSession)
-    points = docs.agg(F.percentile_approx(id_col, [i / ranges for i in range(1, ranges)], 100 * ranges)).first()[0] or []
-    points = sorted(set(points), reverse=True)
-    # Range 0 holds the largest ids; a null id is in the last range.
-    number = F.when(F.col(id_col).isNull(), len(points)).otherwise(_points_from(F.col(id_col), points)).cast("int")
-    placed = docs.select(number.alias("range"), F.col(id_col).alias("id"), "text")
-    sizes = sorted(tuple(r) for r in placed.groupBy("range").agg(F.count(F.lit(1)), F.max("id")).collect())
+    # Rows stand in descending order of this key: by id, then by hash of the text, null ids last. Equal ids can be cut apart.
+    keyed = docs.select(F.col(id_col).alias("id"), "text", F.struct(F.col(id_col).alias("id"), F.bitwise_not(F.xxhash64("text")).alias("h")).alias("key"))
+    key_type = f"struct<id:{keyed.schema['id'].dataType.simpleString()},h:bigint>"
+    points = _split_points(keyed.select("key"), ranges)
+    placed = keyed.select(_points_from(F.col("key"), points, key_type).cast("int").alias("range"), "key", "id", "text")
+    # Range 0 holds the largest keys.
+    sizes = sorted(tuple(r) for r in placed.groupBy("range").agg(F.count(F.lit(1)), F.to_json(F.max("key"))).collect())
     if not sizes:
         return placed.select("range", F.lit(0).cast("long").alias("place"), F.lit(0).cast("long").alias("next_place"), "id", "text", F.lit("").alias("next_text"))
-    # Of each range: the place of its first row, the id that begins it, and the range before it; before the first stands the last.
-    starts, heads, befores = [0] * (len(points) + 1), [None] * (len(points) + 1), [0] * (len(points) + 1)
+    # Of each range: the place of its first row, the key that begins it, and the range before it; before the first stands the last.
+    starts, heads, befores = [0] * (len(points) + 1), ["null"] * (len(points) + 1), [0] * (len(points) + 1)
     at = 0
     for i, (number, size, head) in enumerate(sizes):
         starts[number], heads[number], befores[number] = at, head, sizes[i - 1][0]
         at += size
     of_range = lambda values: F.element_at(_constant(values), F.col("range") + 1)
-    copied = F.col("id").eqNullSafe(of_range(heads))
+    head = F.element_at(_parsed(heads, key_type), F.col("range") + 1)
+    copied = F.col("key").eqNullSafe(head)
     here = F.struct(F.col("range"), F.lit(False).alias("ahead"))
     ahead = F.struct(of_range(befores).cast("int").alias("range"), F.lit(True).alias("ahead"))
     dealt = placed.select(F.explode(F.when(copied, F.array(here, ahead)).otherwise(F.array(here))).alias("to"), "id", "text")

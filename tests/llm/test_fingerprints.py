@@ -90,3 +90,20 @@ def test_no_python_and_no_shuffle_of_words(spark):
     rows = f.ordered(spark.createDataFrame([(1, "a b"), (2, "c")], "doc_id long, text string"), "doc_id")
     plan = f.samples_of(rows, ["range", "place"], "text")._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and plan.count("Exchange") == 1
+
+
+def test_text_ids_and_a_hot_id(spark):
+    texts = random_texts(90, seed=11, words=20)
+    rows = [(f"doc-{i:03d}", t) for i, t in enumerate(texts)]
+    assert collected(f.fingerprints(spark.createDataFrame(rows, "doc_id string, text string"))) == [r for r in plain_by_text(rows)]
+    hot = spark.createDataFrame([(5, f"text {i} of the hot id") for i in range(300)] + [(i, "other") for i in range(20)], "doc_id long, text string")
+    placed = f.ordered(hot.select("doc_id", "text"), "doc_id")
+    sizes = [r["count"] for r in placed.groupBy("range").count().collect()]
+    assert sum(sizes) == 320 and max(sizes) < 60
+    assert sorted(r.place for r in placed.collect()) == list(range(320))
+
+
+def plain_by_text(rows):
+    number = {key: i for i, key in enumerate(sorted(k for k, _ in rows))}
+    names = {i: key for key, i in number.items()}
+    return sorted(((names[r[0]], *r[1:]) for r in plain([(number[k], t) for k, t in rows])), key=repr)
