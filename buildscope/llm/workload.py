@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
@@ -143,11 +145,11 @@ def _sql_secrets() -> str:
     allowed = "|".join(secret_scan.ALLOWED)
     dense = []
     for order, d in enumerate(secret_scan.DENSE, len(secret_scan.KINDS)):
-        with_.append(_sql_matches(f"{d.name}_runs", f"[{d.characters}]{{{d.window},}}"))
-        with_.append(f"""{d.name}_windows AS (SELECT n, run, first FROM (SELECT n, start AS run, match, start + unnest(range(0, length(match) - {d.window} + 1)) AS first FROM {d.name}_runs
-  WHERE NOT regexp_full_match(match, '{allowed}')) WHERE list_aggregate(string_split(substr(match, first - run + 1, {d.window}), ''), 'entropy') >= {d.bits})""")
-        dense.append(f"""SELECT n, min(first) AS start, {order} AS ord, max(first) + {d.window} AS stop, '{d.name}' AS kind FROM (SELECT *, sum(apart) OVER (PARTITION BY n, run ORDER BY first) AS part
-  FROM (SELECT *, CASE WHEN first - lag(first) OVER (PARTITION BY n, run ORDER BY first) <= {d.window} THEN 0 ELSE 1 END AS apart FROM {d.name}_windows)) GROUP BY n, run, part""")
+        with_.append(_sql_matches(f"{d.name}_runs", f"[{d.characters}]{{{d.least},}}"))
+        with_.append(f"""{d.name}_windows AS (SELECT n, run, first, width FROM (SELECT n, start AS run, match, width, start + unnest(range(0, length(match) - width + 1)) AS first FROM (SELECT *, least(length(match), {d.window}) AS width FROM {d.name}_runs)
+  WHERE NOT regexp_full_match(match, '{allowed}')) WHERE list_aggregate(string_split(substr(match, first - run + 1, width), ''), 'entropy') >= log2(width) - {math.log2(d.window) - d.bits!r} * width / {d.window} - 1e-11)""")
+        dense.append(f"""SELECT n, min(first) AS start, {order} AS ord, max(first + width) AS stop, '{d.name}' AS kind FROM (SELECT *, sum(apart) OVER (PARTITION BY n, run ORDER BY first) AS part
+  FROM (SELECT *, CASE WHEN first - lag(first) OVER (PARTITION BY n, run ORDER BY first) <= width THEN 0 ELSE 1 END AS apart FROM {d.name}_windows)) GROUP BY n, run, part""")
     joined = "string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, ord, stop)"
     counts = ", ".join(f"count(*) FILTER (kind = '{k.name}') AS n_{k.name}" for k in secret_scan.KINDS)
     zeros = ", ".join(f"coalesce(n_{k.name}, 0) AS n_{k.name}" for k in secret_scan.KINDS)

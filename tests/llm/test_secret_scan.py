@@ -3,9 +3,11 @@
 import hashlib
 import math
 import re
+import time
 from collections import Counter
 
 from cases import ROWS, collected, documents
+from pyspark.sql import functions as F
 
 from buildscope.llm import secret_scan
 
@@ -34,17 +36,18 @@ def plain(text):
     base += [(m.start(), 2, m.end(), "hex") for m in re.finditer("[0-9a-f]+", text) if len(m.group()) >= 16]
     more = []
     for order, d in enumerate(secret_scan.DENSE, 3):
-        for m in re.finditer(f"[{d.characters}]{{{d.window},}}", text):
+        for m in re.finditer(f"[{d.characters}]{{{d.least},}}", text):
             run = m.group()
             if any(re.fullmatch(a, run) for a in secret_scan.ALLOWED):
                 continue
             spans = []
-            for i in range(len(run) - d.window + 1):
-                if entropy(run[i : i + d.window]) >= d.bits:
+            width = min(len(run), d.window)
+            for i in range(len(run) - width + 1):
+                if entropy(run[i : i + width]) >= math.log2(width) - (math.log2(d.window) - d.bits) * width / d.window - 1e-11:
                     if spans and spans[-1][1] >= i:
-                        spans[-1][1] = i + d.window
+                        spans[-1][1] = i + width
                     else:
-                        spans.append([i, i + d.window])
+                        spans.append([i, i + width])
             more += [(m.start() + a, order, m.start() + b, d.name) for a, b in spans]
     more = [s for s in more if not any(b[0] <= s[0] and b[2] >= s[2] for b in base)]
     written = lambda spans: ",".join(f"{k}:{a}:{b}" for a, _, b, k in sorted(spans))
@@ -78,3 +81,36 @@ def test_redact_replaces_spans_and_nothing_else(spark):
                 want += text[at : int(start)] + "*"
             at = max(at, int(end))
         assert redacted[i] == (None if text is None else want + text[at:], "clash")
+
+
+def test_short_runs_are_windows_of_their_length(spark):
+    keys = ["x9Lq2Zr7Tb4Wm1Kd", "Q7w9E2r4T6y1U8i3O5p0", "F0E1D2C3B4A59687"]
+    dull = ["file_name_2023_1", "zzzzzzzz11111111", "internationalisation", "AAAA0000AAAA0000"]
+    rows = list(enumerate([f"see {x} there" for x in keys + dull]))
+    found = {r.doc_id: r.spans for r in secret_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found == {i: plain(t)[4] for i, t in rows}
+    assert [bool(found[i]) for i, _ in rows] == [True] * len(keys) + [False] * len(dull)
+
+
+def test_many_matches_take_time_in_proportion(spark):
+    def seconds(number):
+        text = " ".join(f"token=abcdefghijkl{i:06d} and x9Lq2Zr7Tb4Wm1Kd{i:06d}" for i in range(number))
+        docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+        start = time.monotonic()
+        row = secret_scan.scan(docs).first()
+        assert row.n_assign == number
+        return time.monotonic() - start
+
+    seconds(2_000)
+    assert seconds(16_000) < 6 * max(1.0, seconds(4_000))
+
+
+def test_running_values_over_many_blocks(spark):
+    values = [(i * 7919) % 101 for i in range(1000)]
+    rows = spark.createDataFrame([(values,), ([],), ([3],)], "v array<int>")
+    sums = secret_scan._running(F.col("v"), "int", F.lit(0), lambda a, b: a + b)
+    peaks = secret_scan._running(F.col("v"), "int", F.lit(-1), F.greatest)
+    found = rows.select(sums.alias("s"), peaks.alias("p")).collect()
+    assert found[0].s == [sum(values[:i]) for i in range(1000)]
+    assert found[0].p == [max(values[:i], default=-1) for i in range(1000)]
+    assert (found[1].s, found[1].p, found[2].s, found[2].p) == ([], [], [0], [-1])
