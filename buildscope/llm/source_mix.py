@@ -41,7 +41,7 @@ from buildscope.plans.tables import materialize
 #: Fixed value: what a word is.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Copies of a row that are placed together, and rows in a range of the hash, about.
-BLOCK, RANGE_ROWS = 1_024, 20_000
+BLOCK, RANGE_ROWS = 1_024, 4_000
 HASH_BITS = 32
 
 Schedule = Sequence[tuple[float, float]]
