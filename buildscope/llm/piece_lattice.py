@@ -8,7 +8,8 @@ segmentation that ends so, hence segmentations leave the queue best first and th
 The lattice falls apart where no piece crosses from one character to the next: before space marks, and between letters and signs, if
 the vocabulary is so. Parts are searched on their own, and repeated parts once while a worker remembers them. The N best of a whole text deviate from the
 best only in the N - 1 parts whose second segmentation costs least, so lists of these parts are merged and all others keep their best.
-Parts are merged to words and words to the text. Where only the best is asked for, ``best`` finds it without lists.
+Parts are merged to words. Of a text's words the best segmentation and the cost of the second are found without lists; lists are made
+only of the N - 1 words with the least cost, and take their places among the others.
 
 Scores are those of the vocabulary, so a segmentation's score is the sum over its pieces; a character without a piece costs the lowest
 score of a piece and ``UNKNOWN_COST`` more. Of equal scores the one that the search meets first comes first, always the same for equal
@@ -43,7 +44,7 @@ UNKNOWN_COST = 10.0
 # Parts and words that a worker remembers.
 REMEMBERED = 200_000
 # Parts and words whose N best a worker remembers, and the longest of them in characters.
-LISTS, LONGEST = 100_000, 64
+LISTS, LONGEST = 20_000, 64
 # Segmentations of each text in ``summarize``.
 NBEST = 4
 WORDS = regex.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
@@ -243,15 +244,20 @@ class Lattice:
                 gap = own_gap
         return score, ids, gap
 
-    def best(self, text: str) -> tuple[float, array, float | None]:
-        """Score and ids of the best segmentation, and the score of the second where there is one."""
+    def words_of(self, text: str) -> tuple[list[str], str, list[Best]]:
+        """The words of a text, what stands before each, and what ``word_best`` says of them."""
         normal = self.normalize(text)
         if not normal:
-            found = []
-        elif self.by_word and normal[0] == SPACE and SPACE * 2 not in normal and normal[-1] != SPACE:
-            found = list(map(self.words.__getitem__, normal.split(SPACE)[1:]))
-        else:
-            found = list(map(self.word_best, WORDS.findall(normal) if self.by_word else [normal]))
+            return [], "", []
+        if self.by_word and normal[0] == SPACE and SPACE * 2 not in normal and normal[-1] != SPACE:
+            bare = normal.split(SPACE)[1:]
+            return bare, SPACE, list(map(self.words.__getitem__, bare))
+        words = WORDS.findall(normal) if self.by_word else [normal]
+        return words, "", list(map(self.word_best, words))
+
+    def best(self, text: str) -> tuple[float, array, float | None]:
+        """Score and ids of the best segmentation, and the score of the second where there is one."""
+        *_, found = self.words_of(text)
         scores, ids, gaps = zip(*found) if found else ((), (), ())
         score, gap = sum(scores), min(gaps, default=ALONE)
         return score, array("i", chain.from_iterable(ids)), None if gap == ALONE else score - gap
@@ -265,10 +271,38 @@ class Lattice:
         return self.part_list(parts[0]) if len(parts) == 1 else self.merged(list(map(self.part_list, parts)))
 
     def encode(self, text: str) -> list[Segmentation]:
-        """The N best segmentations of a whole text."""
-        normal = self.normalize(text)
-        words = WORDS.findall(normal) if self.by_word else [normal] if normal else []
-        return self.merged([self.word_lists[w] if len(w) <= LONGEST else self.word_list(w) for w in words])
+        """The N best segmentations of a whole text.
+
+        All words take their best but for the N - 1 whose second segmentation costs least: only of these lists are made, and the N
+        best choices from the lists take the places of these words among the others.
+        """
+        words, before, found = self.words_of(text)
+        scores, ids, gaps = zip(*found) if found else ((), (), ())
+        cheapest = heapq.nsmallest(self.nbest - 1, range(len(gaps)), key=gaps.__getitem__)
+        varied = sorted(i for i in cheapest if gaps[i] < ALONE)
+        ways: list[tuple[float, tuple[Segmentation, ...]]] = [(0.0, ())]
+        kept, runs, start = sum(scores), [], 0
+        for i in varied:
+            word = before + words[i]
+            choices = self.word_lists[word] if len(word) <= LONGEST else self.word_list(word)
+            longer = ((score + c.score, taken + (c,)) for score, taken in ways for c in choices)
+            ways = sorted(longer, key=_total, reverse=True)[: self.nbest]
+            kept -= scores[i]
+            runs.append(tuple(chain.from_iterable(ids[start:i])))
+            start = i + 1
+        runs.append(tuple(chain.from_iterable(ids[start:])))
+        out = []
+        for score, taken in ways:
+            whole = runs[0]
+            for choice, run in zip(taken, runs[1:]):
+                whole += choice.ids + run
+            out.append(Segmentation(kept + score, whole))
+        return out
+
+    def forget(self) -> None:
+        """Give back what was remembered."""
+        for known in (self.parts, self.words, self.part_lists, self.word_lists):
+            known.forget()
 
     def decode(self, ids) -> str:
         if self.bytes.keys().isdisjoint(ids):
@@ -304,12 +338,20 @@ def _mapped(docs: DataFrame, id_col: str, text_col: str, schema: str, judge) ->
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # What a worker remembers are many small tuples without cycles; looking for cycles in them takes a fifth of the time.
+        # What a worker remembers are many small tuples without cycles; looking for cycles in them takes a fifth of the time. The
+        # worker is left as it was: other tasks run in it.
+        before = gc.get_threshold()
         gc.freeze()
         gc.set_threshold(200_000, 20, 100)
-        for batch in chunks(batches):
-            names, columns = judge(batch.column("text").to_pylist())
-            yield pa.RecordBatch.from_arrays([batch.column("id"), *columns], ["id", *names])
+        try:
+            for batch in chunks(batches):
+                names, columns = judge(batch.column("text").to_pylist())
+                yield pa.RecordBatch.from_arrays([batch.column("id"), *columns], ["id", *names])
+        finally:
+            for own in _lattices.values():
+                own.forget()
+            gc.set_threshold(*before)
+            gc.unfreeze()
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(run, f"id {id_type}, {schema}").withColumnRenamed("id", id_col)
