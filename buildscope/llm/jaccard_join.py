@@ -10,8 +10,9 @@ still suffice) and the suffix filter (the sizes of ``PARTS`` hash partitions of
 verified once, on whole sets.
 
 Groups of near copies would give pairs in the square of their size, and nearly all would join what is joined already. So, first, every
-member of a prefix group is held only against one leader per band of lengths, another one for each n-gram and round; verified links
-give components. Only then all pairs that are left *between* components are listed, in blocks of ``BLOCK`` members, so no group is
+member of a prefix group is held only against one leader per band of lengths, the one of least draw; verified links give components. The
+draw is of the class, the round and one of ``LEADERS`` shares of the n-grams, so groups with nearly the same members have few leaders
+between them, and n near copies give at most 4 n pairs in the first round, whatever number of n-grams they share. Only then all pairs that are left *between* components are listed, in blocks of ``BLOCK`` members, so no group is
 gathered in one task and no link between components is lost.
 
 Defined results: null, empty and blank texts have an empty set, link with nothing and are their own component; texts with fewer words
@@ -38,8 +39,11 @@ from buildscope.plans.tables import materialize, release
 BUCKETS = 1 << 22
 BUCKET_SHIFT = np.uint64(64 - 22)
 BUCKETS_PER_ROW = 1 << 14
+PARTITIONS_PER_SKETCH = 8
 PARTS = 128
-STAR_ROUNDS = 3
+# Leaders that each round draws for the n-grams of a band: few at first, so that near copies meet the same ones; more for what is left.
+LEADERS = (4, 32, 256)
+STAR_ROUNDS = len(LEADERS)
 BLOCK = 2_000
 # Bits of the filter that finds the texts of candidate classes; a full filter only reads more.
 FILTER_BITS = 1 << 23
@@ -81,22 +85,28 @@ def bucket_counts(docs: DataFrame, size: int) -> np.ndarray:
     spark = docs.sparkSession
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(BUCKETS, np.int64)
+        counts = np.zeros(BUCKETS, np.int32)
         for batch in chunks(batches):
             tokens = np.concatenate([np.zeros(0, np.uint64), *shingle_sets(byte_texts(batch.column("text")), size)])
-            counts += np.bincount((tokens >> BUCKET_SHIFT).astype(np.int64), minlength=BUCKETS)
-        rows = counts.astype(np.int32).reshape(-1, BUCKETS_PER_ROW)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(rows), dtype=np.int32)), pa.array([r.tobytes() for r in rows], pa.binary())], ["row", "counts"])
+            np.add.at(counts, (tokens >> BUCKET_SHIFT).astype(np.int64), 1)
+        for number, row in enumerate(counts.reshape(-1, BUCKETS_PER_ROW)):
+            if row.any():
+                yield pa.RecordBatch.from_arrays([pa.array([number], pa.int32()), pa.array([row.tobytes()], pa.binary())], ["row", "counts"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals: dict[int, np.ndarray] = {}
         for batch in batches:
             for row, counts in zip(batch.column("row").to_pylist(), batch.column("counts").to_pylist()):
-                totals[row] = totals.get(row, 0) + np.frombuffer(counts, np.int32)
-        yield pa.RecordBatch.from_arrays([pa.array(list(totals), pa.int32()), pa.array([t.tobytes() for t in totals.values()], pa.binary())], ["row", "counts"])
-
-    # A few tasks for each core, so that there are not more partial sketches than that.
-    parts = docs.coalesce(4 * spark.sparkContext.defaultParallelism).mapInArrow(count, "row int, counts binary")
+                if row in totals:
+                    totals[row] += np.frombuffer(counts, np.int32)
+                else:
+                    totals[row] = np.frombuffer(counts, np.int32).copy()
+        for row, total in totals.items():
+            yield pa.RecordBatch.from_arrays([pa.array([row], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["row", "counts"])
+
+    # Several partitions in a task, so that partial sketches stay a small part of the input, and tasks do not grow with it.
+    tasks = max(2 * spark.sparkContext.defaultParallelism, -(-docs.rdd.getNumPartitions() // PARTITIONS_PER_SKETCH))
+    parts = docs.coalesce(tasks).mapInArrow(count, "row int, counts binary")
     summed = parts.repartition(partitions(spark), "row").mapInArrow(add, "row int, counts binary")
     out = np.zeros(BUCKETS, np.int32)
     for row in summed.collect():  # BUCKETS numbers, whatever the size of the input
@@ -186,7 +196,7 @@ def star_pairs(members: DataFrame, least: int, number: int) -> DataFrame:
     """Each member of a prefix group with the leader of its band of lengths and of the band below, if not joined yet."""
     sides = members.select(
         "token", F.floor(F.log("n") / F.lit(math.log(100 / least))).alias("band"), F.struct("class", "label", "n", "place").alias("x"),
-        F.xxhash64("token", "class", F.lit(number)).alias("draw"),
+        F.xxhash64("class", F.lit(number), F.pmod("token", F.lit(LEADERS[number]))).alias("draw"),
     )
     leaders = sides.groupBy("token", "band").agg(F.min(F.struct("draw", "x")).alias("first")).select("token", "band", F.col("first.x").alias("y"))
     held = sides.select("token", F.explode(F.array("band", F.col("band") - 1)).alias("band"), "x")

@@ -6,6 +6,8 @@ import re
 import pytest
 from cases import ROWS, collected, documents, random_texts
 
+from pyspark.sql import functions as F
+
 from buildscope.llm import jaccard_join
 from buildscope.llm.components import components
 
@@ -92,3 +94,18 @@ def test_components_of_long_paths_and_stars(spark):
     draw.shuffle(links)
     labels = {r.node: r.label for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert labels == {i: 100 for i in range(100, 161)} | {i: 7 for i in [7, *range(200, 260)]}
+
+
+def test_near_copies_give_few_pairs(spark):
+    draw = random.Random(4)
+    base = [f"w{i}" for i in range(120)]
+    rows = []
+    for i in range(200):
+        words = list(base)
+        for _ in range(2):
+            words[draw.randrange(len(words))] = f"x{draw.randrange(40)}"
+        rows.append((i, " ".join(words)))
+    docs = spark.createDataFrame(rows, "id long, text string")
+    described = jaccard_join.describe(docs, 5, 80).cache()
+    members = jaccard_join.prefix_groups(described).withColumn("label", F.col("class"))
+    assert jaccard_join.star_pairs(members, 80, 0).count() <= 4 * len(rows)
