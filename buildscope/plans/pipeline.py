@@ -11,7 +11,7 @@ from buildscope.operators.forest import AnomalyDetector
 from buildscope.operators.geometry import compute_geometry_features
 from buildscope.plans.tables import materialize
 from buildscope.schemas import FEATURES, GEOMETRY_COLUMNS
-from buildscope.sources import step, tables
+from buildscope.sources import step, step_files, tables
 
 
 def run_portfolio_analysis(
@@ -69,19 +69,23 @@ def analyse_directory(
     meshes: DataFrame | None = None,
     *,
     recursive: bool = False,
+    archives: bool = False,
     types: DataFrame | None = None,
     record_end: str | None = step.DETECT,
     **options,
 ) -> DataFrame:
     """The workflow from a folder of model files.
 
-    Every file gives one result row: a file that cannot be read, or that holds no product,
-    a failure row. Entity types outside the table of product types are counted under
+    Every file, and with ``archives`` every ``.ifczip``, gives one result row: a file that cannot be read, or that holds no
+    product, a failure row. Entity types outside the table of product types are counted under
     ``unlisted_types``. ``meshes`` holds the world-coordinate vertices of the elements;
     without it no element has geometry.
     """
-    listing = step.discover_models(spark, directory, recursive)
-    records = step.read_records(spark, directory, recursive, record_end)
+    listing = step.discover_models(spark, directory, recursive, "*.{ifc,ifczip}" if archives else "*.ifc")
+    if record_end == step.DETECT:
+        records = step_files.read_models(spark, directory, recursive, archives=archives)
+    else:
+        records = step.read_records(spark, directory, recursive, record_end)
     checked = materialize(
         step.validate_models(listing.withColumns({"exists": F.lit(True), "is_file": F.lit(True)}), records).join(
             listing.select("path", "model_id"), "path"
@@ -93,12 +97,12 @@ def analyse_directory(
         F.col("path").alias("model_path"),
         F.concat(F.lit("IFCLoadError: "), F.col("error")).alias("error_message"),
     )
-    readable = checked.filter("is_valid").select("model_id")
+    broken = checked.filter(~F.col("is_valid")).select("model_id")
     entities = step.parse_entities(records)
-    unlisted = step.unlisted_types(entities, types).join(readable, "model_id", "left_semi")
+    unlisted = step.unlisted_types(entities, types).join(broken, "model_id", "left_anti")
     unlisted.write.mode("overwrite").parquet(f"{output}/unlisted_types")
     elements = step.extract_elements(entities, types, keep_entity_id=True)
-    elements = elements.join(readable, "model_id", "left_semi").withColumnRenamed("entity_id", "element_key")
+    elements = elements.join(broken, "model_id", "left_anti").withColumnRenamed("entity_id", "element_key")
     elements = materialize(elements, "elements")
     empty = checked.filter("is_valid").join(elements.select("model_id"), "model_id", "left_anti")
     failures = failures.unionByName(

@@ -18,9 +18,10 @@ from buildscope.operators import (
     profile,
     views,
 )
+from buildscope.plans.pipeline import analyse_directory
 from buildscope.plans.tables import materialize, scratch_path
 from buildscope.schemas import FEATURES, GEOMETRY_COLUMNS, ISSUES
-from buildscope.sources import step, tables
+from buildscope.sources import step, step_files, tables
 from buildscope.workload import inputs
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -395,6 +396,17 @@ def model_results(spark, sf):
     return rounded(inputs.results(spark, sf).drop("processed_at"), *RESULT_FLOATS)
 
 
+@query
+def portfolio_from_step(spark, sf):
+    """The elements written as model files, read back, checked, scored and rolled up by the workflow; its table of results."""
+    folder, output = scratch_path(spark, "step-files"), scratch_path(spark, "step-portfolio")
+    step_files.write_models(inputs.step_file_text(spark, sf), folder)
+    analyse_directory(spark, folder, output, recursive=True, archives=True)
+    results, _ = tables.load_portfolio_data(spark, output)
+    shown = F.regexp_replace("model_path", "^.*/step-files-[0-9a-f]+/(.*)[.]ifc(zip)?$", "$1").alias("model_path")
+    return rounded(results.select("model_name", shown, *[c for c in results.columns if c not in ("model_name", "model_path", "processed_at", "runtime_seconds")]), *RESULT_FLOATS[:-1])
+
+
 @query
 def model_results_with_failures(spark, sf):
     return rounded(inputs.all_results(spark, sf).drop("processed_at"), *RESULT_FLOATS)

@@ -210,3 +210,26 @@ def results(spark: SparkSession, sf_dir: str, anomalies: DataFrame | None = None
 
 def all_results(spark: SparkSession, sf_dir: str, anomalies: DataFrame | None = None) -> DataFrame:
     return portfolio.with_failures(results(spark, sf_dir, anomalies), failures(spark, sf_dir))
+
+
+def step_file_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The elements as the text of model files: (path, place, record).
+
+    Line items up to the third are in folder ``a`` and the others in ``b``, so files share their names. By model, lines end in LF, in CR
+    LF, or in either; some records follow a comment; every fifth model is an archive. The suppliers of every twentieth key have a
+    file without products in the folder ``empty``.
+    """
+    rows = step_records(spark, sf_dir)
+    place = F.regexp_extract("record", r"^#(\d+)", 1).cast("long")
+    folder = F.when(F.floor(place / 10000000) % 8 <= 3, "a/").otherwise("b/")
+    draw = F.pmod(F.xxhash64("model_id"), F.lit(30))
+    suffix = F.when(draw % 5 == 0, ".ifczip").otherwise(".ifc")
+    end = F.when((draw % 3 == 1) | ((draw % 3 == 2) & (place % 2 == 0)), ";\r\n").otherwise(";\n")
+    comment = F.when(place % 97 == 0, F.lit("/* it's #1=IFCWALL(x); */ ")).otherwise("")
+    body = rows.select(F.concat(folder, "model_id", suffix).alias("path"), place.alias("place"), F.concat(comment, "record", end).alias("record"))
+    start = "ISO-10303-21;\nHEADER;\nFILE_DESCRIPTION((''),'2;1');\nFILE_NAME('','',(''),(''),'','','');\nFILE_SCHEMA(('IFC4'));\nENDSEC;\nDATA;\n#1=IFCORGANIZATION($,'o',$,$,$);\n"
+    bare = table(spark, sf_dir, "supplier").filter(F.col("s_suppkey") % 20 == 3).select(F.concat(F.lit("empty/supplier_"), F.col("s_suppkey").cast("string"), F.lit(".ifc")).alias("path"))
+    paths = body.select("path").distinct().unionByName(bare)
+    heads = paths.select("path", F.lit(-1).cast("long").alias("place"), F.lit(start).alias("record"))
+    tails = paths.select("path", F.lit(2**62).alias("place"), F.lit("ENDSEC;\nEND-ISO-10303-21;\n").alias("record"))
+    return body.unionByName(heads).unionByName(tails)

@@ -427,6 +427,22 @@ def _metrics() -> dict[str, str]:
     }
 
 
+def _from_step() -> str:
+    none = ", ".join(f"CAST(NULL AS DOUBLE) AS {c}" for c in GEOMETRY_COLUMNS)
+    ctes = {
+        "given": FEATURES_SQL,
+        "features": f"""SELECT CASE WHEN entity_id // 10000000 % 8 <= 3 THEN 'a/' ELSE 'b/' END || model_id AS model_id, entity_id, global_id, ifc_type, name,
+ description, object_type, predefined_type, false AS has_geometry, {none} FROM given""",
+        "issues": ISSUES_SQL,
+        "summary": summary_sql(),
+        "results": f"""SELECT * REPLACE (regexp_replace(model_path, '[.]ifc$', '') AS model_path) FROM ({results_sql(with_failures=False)})""",
+    }
+    columns = RESULT_ROWS.replace(r6("anomaly_rate", "runtime_seconds"), r6("anomaly_rate")).replace(" FROM results", "")
+    bare = """SELECT 'empty/supplier_' || CAST(s_suppkey AS VARCHAR), 'empty/supplier_' || CAST(s_suppkey AS VARCHAR), 'failure', 0, 0, 0, 0, 0, 0, 0, 0, NULL, NULL,
+ 'NoElements: no product in the file' FROM supplier WHERE s_suppkey % 20 = 3"""
+    return "WITH " + ", ".join(f"{name} AS ({sql})" for name, sql in ctes.items()) + f" {columns} FROM results UNION ALL {bare}"
+
+
 def _portfolio() -> dict[str, str]:
     kpis = {
         "avg_quality_score": "avg(quality_score)", "median_quality_score": "median(quality_score)",
@@ -458,6 +474,7 @@ def _portfolio() -> dict[str, str]:
     return {
         "model_results": on_results(RESULT_ROWS, failures=False),
         "model_results_with_failures": on_results(RESULT_ROWS),
+        "portfolio_from_step": _from_step(),
         "adaptive_contamination": on_features(
             """SELECT model_id, count(*) AS element_count, CAST(CASE WHEN count(*) > 1000 THEN 0.02 WHEN count(*) > 500 THEN 0.03
  WHEN count(*) > 10 THEN 0.05 END AS DOUBLE) AS contamination FROM features GROUP BY model_id"""
