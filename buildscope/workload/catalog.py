@@ -396,6 +396,15 @@ def model_results(spark, sf):
     return rounded(inputs.results(spark, sf).drop("processed_at"), *RESULT_FLOATS)
 
 
+@query
+def anomaly_rate_known(spark, sf):
+    """Which models have an anomaly rate, where the numbers of one model cannot be learned from."""
+    damaged = (F.col("model_id") == DRILLDOWN_MODEL) & (F.col("entity_id") % 20 == 3)
+    features = _features(spark, sf).withColumn("dim_z", F.when(damaged, 1.7e308).otherwise(F.col("dim_z")))
+    found, _ = forest.detect_anomalies(features, portfolio.contamination, n_estimators=20)
+    return portfolio.model_results(features, found).select(F.col("model_name").alias("model_id"), F.col("anomaly_rate").isNotNull().alias("known"))
+
+
 @query
 def portfolio_from_step(spark, sf):
     """The elements written as model files, read back, checked, scored and rolled up by the workflow; its table of results."""

@@ -475,6 +475,10 @@ def _portfolio() -> dict[str, str]:
         "model_results": on_results(RESULT_ROWS, failures=False),
         "model_results_with_failures": on_results(RESULT_ROWS),
         "portfolio_from_step": _from_step(),
+        "anomaly_rate_known": on_features(
+            f"""SELECT model_id, count(*) > 10 AND bool_or(has_geometry)
+ AND NOT (model_id = '{DRILLDOWN_MODEL}' AND bool_or(has_geometry AND entity_id % 20 = 3)) AS known FROM features GROUP BY model_id"""
+        ),
         "adaptive_contamination": on_features(
             """SELECT model_id, count(*) AS element_count, CAST(CASE WHEN count(*) > 1000 THEN 0.02 WHEN count(*) > 500 THEN 0.03
  WHEN count(*) > 10 THEN 0.05 END AS DOUBLE) AS contamination FROM features GROUP BY model_id"""
