@@ -95,10 +95,18 @@ def failed_models(results: DataFrame) -> DataFrame:
     return results.filter(F.col("status") == FAILURE).select("model_name", "error_message")
 
 
+def one_model(table: DataFrame, model_id: str) -> DataFrame:
+    return table.filter(F.col("model_id") == model_id)
+
+
 def model_drilldown(
     features: DataFrame, issues: DataFrame, model_id: str, anomalies: DataFrame | None = None
 ) -> DataFrame:
-    """KPIs of one model. The filter reaches every scan, and prunes partitions on model_id."""
+    """KPIs of one model from tables of features, issues and anomalies.
+
+    The filter reaches scans of stored tables. Issues or anomalies that are still to be derived must be derived from
+    ``one_model`` of the features, or the work is done for every model.
+    """
     this = F.col("model_id") == model_id
     summary = model_summary(features.filter(this), issues.filter(this))
     if anomalies is None:

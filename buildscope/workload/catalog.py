@@ -539,7 +539,8 @@ def failed_models(spark, sf):
 
 @query
 def model_drilldown(spark, sf):
-    found = views.model_drilldown(_features(spark, sf), _issues(spark, sf), DRILLDOWN_MODEL, _flagged(spark, sf))
+    this = views.one_model(_features(spark, sf), DRILLDOWN_MODEL)
+    found = views.model_drilldown(this, checks.run_all_checks(this), DRILLDOWN_MODEL, _flagged_of(this))
     return rounded(
         found, "quality_score", "issue_rate_per_1000", "name_pct", "object_type_pct", "geometry_pct", "anomaly_rate_pct"
     )
@@ -627,17 +628,25 @@ def derived_features(spark, sf):
 # --- outliers: flags on a score SQL can express ------------------------------------
 
 
-def _scored(spark: SparkSession, sf: str) -> DataFrame:
+def _scored_of(features: DataFrame) -> DataFrame:
     """Minus the summed distances of the sides from the median of their model, in quartile ranges.
 
     Rounded, so that equal distances are equal scores however they were added up.
     """
-    rows = _features(spark, sf).select("model_id", "global_id", "ifc_type", "has_geometry", *SIZES)
+    rows = features.select("model_id", "global_id", "ifc_type", "has_geometry", *SIZES)
     scaled, _ = preprocess.preprocess_features(rows)
     score = F.round(-(F.abs("dim_x") + F.abs("dim_y") + F.abs("dim_z")), 9)
     return materialize(scaled.select("model_id", "global_id", "ifc_type", score.alias("anomaly_score")), "scored")
 
 
+def _scored(spark: SparkSession, sf: str) -> DataFrame:
+    return _scored_of(_features(spark, sf))
+
+
+def _flagged_of(features: DataFrame) -> DataFrame:
+    return anomaly.flag_anomalies(_scored_of(features), sizes=portfolio.adaptive_contamination(features))
+
+
 def _flagged(spark: SparkSession, sf: str) -> DataFrame:
     sizes = portfolio.adaptive_contamination(inputs.elements(spark, sf))
     return anomaly.flag_anomalies(_scored(spark, sf), sizes=sizes)

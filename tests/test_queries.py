@@ -4,6 +4,7 @@ Every query by default; FEW_QUERIES=1 compares a cross-section.
 """
 
 import os
+import subprocess
 import sys
 from collections import Counter
 
@@ -69,3 +70,30 @@ def test_entry(spark):
     if not os.path.isdir(SF):
         pytest.skip("no test data")
     assert contract.entry(spark).count() > 0
+
+
+def test_a_drill_down_writes_rows_of_its_model_only(spark, monkeypatch):
+    from buildscope.operators import anomaly, checks, preprocess
+
+    written = []
+
+    def recording(materialize):
+        def wrapped(df, label="table"):
+            out = materialize(df, label)
+            if "model_id" in out.columns:
+                written.append({r[0] for r in out.select("model_id").distinct().collect()})
+            return out
+
+        return wrapped
+
+    for module in (anomaly, checks, preprocess, catalog):
+        if hasattr(module, "materialize"):
+            monkeypatch.setattr(module, "materialize", recording(module.materialize))
+    assert catalog.model_drilldown(spark, SF).count() == 1
+    assert written and set.union(*written) == {catalog.DRILLDOWN_MODEL}
+
+
+def test_the_core_does_not_need_the_libraries_of_the_optional_part():
+    code = "import sys; sys.modules['ahocorasick'] = None; import __spark_entry__ as e; assert 'quality_score' in e.queries() and 'pipeline' not in e.queries()"
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    subprocess.run([sys.executable, "-W", "ignore", "-c", code], cwd=root, check=True, timeout=120)
