@@ -91,8 +91,7 @@ def _split_points(keys: DataFrame, ranges: int) -> list[str]:
     share = min(1.0, SPLIT_SAMPLE * ranges / max(1, keys.count()))
     chosen = keys.filter(tie < int(share * (1 << 30))).distinct().orderBy(F.desc("key")).limit(2 * SPLIT_SAMPLE * ranges)
     sample = [r.key for r in chosen.select(F.to_json("key").alias("key")).collect()]
-    step = max(1, len(sample) // ranges)
-    return sample[step::step][: ranges - 1]
+    return list(dict.fromkeys(sample[i * len(sample) // ranges] for i in range(1, ranges) if sample))
 
 
 def _points_from(value: Column, points: list[str], kind: str) -> Column:
