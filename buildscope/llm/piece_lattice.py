@@ -42,7 +42,7 @@ from buildscope.llm.common import Remembered, chunks
 SPACE = "▁"
 UNKNOWN_COST = 10.0
 # Parts and words that a worker remembers.
-REMEMBERED = 200_000
+REMEMBERED = 100_000
 # Parts and words whose N best a worker remembers, and the longest of them in characters.
 LISTS, LONGEST = 20_000, 64
 # Segmentations of each text in ``summarize``.
