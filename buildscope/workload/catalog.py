@@ -21,7 +21,7 @@ from buildscope.operators import (
 from buildscope.plans.pipeline import analyse_directory
 from buildscope.plans.tables import materialize, scratch_path
 from buildscope.schemas import FEATURES, GEOMETRY_COLUMNS, ISSUES
-from buildscope.sources import step, step_files, tables
+from buildscope.sources import step, step_files, step_shapes, tables
 from buildscope.workload import inputs
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -416,6 +416,16 @@ def portfolio_from_step(spark, sf):
     return rounded(results.select("model_name", shown, *[c for c in results.columns if c not in ("model_name", "model_path", "processed_at", "runtime_seconds")]), *RESULT_FLOATS[:-1])
 
 
+@query
+def boxes_from_step(spark, sf):
+    """Bodies of six kinds under three nested placements, written as model files, read back and boxed in metres."""
+    folder = scratch_path(spark, "body-files")
+    step_files.write_models(inputs.body_file_text(spark, sf), folder)
+    boxes, _ = step_shapes.read_shapes(step.parse_entities(step_files.read_models(spark, folder)))
+    numbers = [*geometry.BOX, *[f"{part}_{axis}" for part in ("centroid", "dim") for axis in geometry.AXES]]
+    return rounded(boxes.select("model_id", "entity_id", "global_id", "has_geometry", *numbers), *numbers, digits=8)
+
+
 @query
 def model_results_with_failures(spark, sf):
     return rounded(inputs.all_results(spark, sf).drop("processed_at"), *RESULT_FLOATS)

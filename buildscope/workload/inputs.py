@@ -6,6 +6,8 @@ shared with the SQL oracles.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -233,3 +235,101 @@ def step_file_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     heads = paths.select("path", F.lit(-1).cast("long").alias("place"), F.lit(start).alias("record"))
     tails = paths.select("path", F.lit(2**62).alias("place"), F.lit("ENDSEC;\nEND-ISO-10303-21;\n").alias("record"))
     return body.unionByName(heads).unionByName(tails)
+
+
+# Sizes and place of the bodies written for line items; the texts are shared with the SQL.
+BODY = {
+    "dx": "CAST(l_quantity AS DOUBLE)",
+    "dy": "CAST(p_size AS DOUBLE) * CAST(0.1 AS DOUBLE)",
+    "dz": "CAST(l_tax AS DOUBLE) * CAST(10 AS DOUBLE) + CAST(0.5 AS DOUBLE)",
+    "cx": "CAST(l_extendedprice AS DOUBLE)",
+    "cy": "CAST(p_retailprice AS DOUBLE)",
+    "cz": "CAST(l_discount AS DOUBLE) * CAST(100 AS DOUBLE)",
+}
+# A file has one instance of a number; the quantity tells apart line items that share the others. 64 numbers belong to an element.
+BODY_NUMBER = "(entity_id * 64 + CAST(l_quantity AS BIGINT)) * 64"
+CUBE = "((0.,0.,0.),(1.,0.,0.),(1.,1.,0.),(0.,1.,0.),(0.,0.,1.),(1.,0.,1.),(1.,1.,1.),(0.,1.,1.),(9000.,9000.,9000.))"
+
+
+def body_file_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The elements with bodies as the text of one file per model: (path, place, record).
+
+    An element stands on its own placement, that of its storey (one per line number, every second one turned) and that of the site. By
+    line number a body is a faceted solid, a triangulated face set, an extruded rectangle, an extruded outline, a mapped polygonal face
+    set with a scale, a polygonal face set whose list has a point that no face uses, or missing. Models are in millimetres, metres or feet.
+    """
+    rows = base_rows(spark, sf_dir).select(
+        *[F.expr(BASE[n]).alias(n) for n in ("model_id", "entity_id", "global_id", "ifc_type")],
+        F.col("l_linenumber").cast("int").alias("line"), "l_quantity", *[F.expr(sql).alias(name) for name, sql in BODY.items()],
+    )
+    base = F.expr(BODY_NUMBER)
+
+    def number(k: int):
+        return (base + k).cast("string")
+
+    def text(template: str):
+        """``{k}`` is a reference to the element's own instance k, ``<name>`` the number of a column."""
+        parts = []
+        for piece in re.split(r"(\{\d+\}|<[^>]+>)", template):
+            if piece.startswith("{"):
+                parts.append(F.concat(F.lit("#"), number(int(piece[1:-1]))))
+            elif piece.startswith("<"):
+                parts.append(F.expr(piece[1:-1]).cast("string"))
+            elif piece:
+                parts.append(F.lit(piece))
+        return F.concat(*parts)
+
+    box = "(" + ",".join(f"({x},{y},{z})" for z in ("0.", "<dz>") for x, y in (("0.", "0."), ("<dx>", "0."), ("<dx>", "<dy>"), ("0.", "<dy>"))) + ",(9000.,9000.,9000.))"
+    faces = [(0, 1, 2), (0, 1, 3), (0, 2, 3), (1, 2, 3)]
+    solid = ["{7}=IFCFACETEDBREP({8})", "{8}=IFCCLOSEDSHELL(({9},{10},{11},{12}))"]
+    for i, corners in enumerate(faces):
+        loop = ",".join(f"{{{21 + c}}}" for c in corners)
+        solid += [f"{{{9 + i}}}=IFCFACE(({{{13 + i}}}))", f"{{{13 + i}}}=IFCFACEOUTERBOUND({{{17 + i}}},.T.)", f"{{{17 + i}}}=IFCPOLYLOOP(({loop}))"]
+    solid += [f"{{{21 + i}}}=IFCCARTESIANPOINT(({p}))" for i, p in enumerate(("0.,0.,0.", "<dx>,0.,0.", "0.,<dy>,0.", "0.,0.,<dz>"))]
+    up = "{10}=IFCDIRECTION((0.,0.,1.))"
+    bodies = {
+        1: solid,
+        2: ["{7}=IFCTRIANGULATEDFACESET({8},$,.T.,((1,2,3),(1,3,4),(5,6,7),(5,7,8)),$)", f"{{8}}=IFCCARTESIANPOINTLIST3D({box})"],
+        3: [
+            "{7}=IFCEXTRUDEDAREASOLID({8},{9},{10},<dz>)", "{8}=IFCRECTANGLEPROFILEDEF(.AREA.,$,{11},<dx>,<dy>)", "{9}=IFCAXIS2PLACEMENT3D({12},$,$)", up,
+            "{11}=IFCAXIS2PLACEMENT2D({13},$)", "{12}=IFCCARTESIANPOINT((0.,0.,0.))", "{13}=IFCCARTESIANPOINT((0.,0.))",
+        ],
+        4: [
+            "{7}=IFCEXTRUDEDAREASOLID({8},$,{10},<dz>)", "{8}=IFCARBITRARYCLOSEDPROFILEDEF(.AREA.,'outline #1',{9})", "{9}=IFCPOLYLINE(({11},{12},{13},{11}))", up,
+            "{11}=IFCCARTESIANPOINT((0.,0.))", "{12}=IFCCARTESIANPOINT((<dx>,0.))", "{13}=IFCCARTESIANPOINT((0.,<dy>))",
+        ],
+        5: ["{7}=IFCMAPPEDITEM(#40,{8})", "{8}=IFCCARTESIANTRANSFORMATIONOPERATOR3D($,$,{9},<dx>,$)", "{9}=IFCCARTESIANPOINT((0.,0.,0.))"],
+        6: ["{7}=IFCPOLYGONALFACESET({8},.T.,({9},{10}),$)", f"{{8}}=IFCCARTESIANPOINTLIST3D({box})", "{9}=IFCINDEXEDPOLYGONALFACE((1,2,3,4))", "{10}=IFCINDEXEDPOLYGONALFACE((5,6,7,8))"],
+        7: [],
+    }
+    own = ["{1}=IFCLOCALPLACEMENT(#<100 + 4 * line>,{2})", "{2}=IFCAXIS2PLACEMENT3D({3},$,$)", "{3}=IFCCARTESIANPOINT((<cx>,<cy>,<cz>))"]
+    shown = ["{5}=IFCPRODUCTDEFINITIONSHAPE($,$,({6}))", "{6}=IFCSHAPEREPRESENTATION($,'Body','any',({7}))"]
+    records = None
+    for line, body in bodies.items():
+        product = "{0}=<upper(ifc_type)>('<global_id>',$,$,$,$,{1}," + ("{5})" if body else "$)")
+        listed = F.array(*[text(t) for t in [product, *own, *(shown if body else []), *body]])
+        records = F.when(F.col("line") == line, listed) if records is None else records.when(F.col("line") == line, listed)
+    path = F.concat("model_id", F.lit(".ifc")).alias("path")
+    elements_ = rows.select(path, base.alias("place"), F.explode(records).alias("record"))
+    size = F.length("model_id")
+    metres = F.array(F.lit("#6=IFCSIUNIT(*,.LENGTHUNIT.,$,.METRE.)"))
+    thousandth = F.array(F.lit("#6=IFCSIUNIT(*,.LENGTHUNIT.,.MILLI.,.METRE.)"))
+    feet = F.array(F.lit("#6=IFCCONVERSIONBASEDUNIT($,.LENGTHUNIT.,'FOOT',#8)"), F.lit("#8=IFCMEASUREWITHUNIT(IFCLENGTHMEASURE(0.3048),#9)"), F.lit("#9=IFCSIUNIT(*,.LENGTHUNIT.,$,.METRE.)"))
+    fixed = [
+        "ISO-10303-21;\nHEADER;\nFILE_DESCRIPTION((''),'2;1');\nFILE_NAME('','',(''),(''),'','','');\nFILE_SCHEMA(('IFC4'));\nENDSEC;\nDATA;\n#1=IFCLOCALPLACEMENT($,#2)",
+        "#2=IFCAXIS2PLACEMENT3D(#3,$,$)", "#4=IFCDIRECTION((3.,4.,0.))", "#5=IFCUNITASSIGNMENT((#6,#7))", "#7=IFCSIUNIT(*,.AREAUNIT.,$,.SQUARE_METRE.)",
+        "#40=IFCREPRESENTATIONMAP(#41,#42)", "#41=IFCAXIS2PLACEMENT3D(#43,$,$)", "#43=IFCCARTESIANPOINT((0.,0.,0.))", "#42=IFCSHAPEREPRESENTATION($,'Body','any',(#44))",
+        "#44=IFCPOLYGONALFACESET(#45,$,(#46,#47),$)", f"#45=IFCCARTESIANPOINTLIST3D({CUBE})", "#46=IFCINDEXEDPOLYGONALFACE((1,2,3,4))", "#47=IFCINDEXEDPOLYGONALFACE((5,6,7,8))",
+    ]
+    for line in range(1, 8):
+        turned = "#4" if line % 2 == 0 else "$"
+        at = 100 + 4 * line
+        fixed += [f"#{at}=IFCLOCALPLACEMENT(#1,#{at + 1})", f"#{at + 1}=IFCAXIS2PLACEMENT3D(#{at + 2},$,{turned})", f"#{at + 2}=IFCCARTESIANPOINT((0.,0.,{3.0 * line}))"]
+    site = F.concat(F.lit("#3=IFCCARTESIANPOINT(("), (size * 100.0).cast("string"), F.lit(",0.,0.))"))
+    unit = F.when(size % 3 == 0, thousandth).when(size % 3 == 1, metres).otherwise(feet)
+    head = F.concat(F.array(*[F.lit(t) for t in fixed]), F.array(site), unit)
+    models = rows.select("model_id").distinct()
+    heads = models.select(path, F.posexplode(head).alias("at", "record")).select("path", (F.col("at") - 1000).cast("long").alias("place"), "record")
+    tails = models.select(path, F.lit(2**62).alias("place"), F.lit("ENDSEC;\nEND-ISO-10303-21").alias("record"))
+    whole = elements_.unionByName(heads).unionByName(tails)
+    return whole.withColumn("record", F.concat("record", F.lit(";\n")))

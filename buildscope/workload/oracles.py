@@ -5,7 +5,7 @@ from __future__ import annotations
 from buildscope.operators.preprocess import ML_FEATURES
 from buildscope.schemas import FEATURES, GEOMETRY_COLUMNS
 from buildscope.workload.catalog import CUSTOM_WEIGHTS, DRILLDOWN_MODEL
-from buildscope.workload.inputs import BASE, ELEMENT, GEOMETRY, STEP_FILLER
+from buildscope.workload.inputs import BASE, BODY, BODY_NUMBER, ELEMENT, GEOMETRY, STEP_FILLER
 
 ML = list(ML_FEATURES)
 SIZES = ["dim_x", "dim_y", "dim_z"]
@@ -443,6 +443,28 @@ def _from_step() -> str:
     return "WITH " + ", ".join(f"{name} AS ({sql})" for name, sql in ctes.items()) + f" {columns} FROM results UNION ALL {bare}"
 
 
+def _boxes() -> str:
+    """The box of each body from its corners: turned by (0.6, 0.8) on even lines, raised by its storey, moved by its site."""
+    named = ", ".join(f"{sql} AS {name}" for name, sql in {n: BASE[n] for n in ("model_id", "entity_id", "global_id")}.items())
+    sized = ", ".join(f"{sql} AS {name}" for name, sql in BODY.items())
+    corner = "list_value({a}0, {a}1, {a}0, CASE WHEN line IN (1, 4) THEN {a}0 ELSE {a}1 END)"
+    xs, ys = corner.format(a="a"), "list_value(b0, b0, b1, CASE WHEN line IN (1, 4) THEN b0 ELSE b1 END)"
+    out, dims = [], []
+    for axis in "xyz":
+        low, high = f"list_min({axis}s) * metres", f"list_max({axis}s) * metres"
+        out += [f"round({low}, 8) AS bbox_min_{axis}", f"round({high}, 8) AS bbox_max_{axis}"]
+        dims += [f"round(({low} + {high}) / 2, 8) AS centroid_{axis}", f"round({high} - {low}, 8) AS dim_{axis}"]
+    return f"""WITH rows AS (SELECT {named}, CAST(l_linenumber AS INTEGER) AS line, l_quantity, {sized} FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_linenumber < 7),
+ sides AS (SELECT *, CASE WHEN line = 3 THEN -dx / 2 ELSE 0.0::DOUBLE END AS a0, CASE WHEN line = 3 THEN dx / 2 ELSE dx END AS a1,
+ CASE WHEN line = 3 THEN -dy / 2 ELSE 0.0::DOUBLE END AS b0, CASE WHEN line = 3 THEN dy / 2 WHEN line = 5 THEN dx ELSE dy END AS b1,
+ CASE WHEN line = 5 THEN dx ELSE dz END AS c1, CASE WHEN line % 2 = 0 THEN 0.6::DOUBLE ELSE 1.0::DOUBLE END AS c, CASE WHEN line % 2 = 0 THEN 0.8::DOUBLE ELSE 0.0::DOUBLE END AS s,
+ CASE length(model_id) % 3 WHEN 0 THEN 0.001::DOUBLE WHEN 1 THEN 1.0::DOUBLE ELSE 0.3048::DOUBLE END AS metres FROM rows),
+ corners AS (SELECT *, list_zip({xs}, {ys}) AS corner FROM sides),
+ turned AS (SELECT *, list_transform(corner, lambda p: c * (cx + p[1]) - s * (cy + p[2]) + 100.0 * length(model_id)) AS xs,
+ list_transform(corner, lambda p: s * (cx + p[1]) + c * (cy + p[2])) AS ys, list_value(cz + 3 * line, cz + c1 + 3 * line) AS zs FROM corners)
+ SELECT model_id, CAST({BODY_NUMBER} AS BIGINT) AS entity_id, global_id, true AS has_geometry, {", ".join(out + dims)} FROM turned"""
+
+
 def _portfolio() -> dict[str, str]:
     kpis = {
         "avg_quality_score": "avg(quality_score)", "median_quality_score": "median(quality_score)",
@@ -475,6 +497,7 @@ def _portfolio() -> dict[str, str]:
         "model_results": on_results(RESULT_ROWS, failures=False),
         "model_results_with_failures": on_results(RESULT_ROWS),
         "portfolio_from_step": _from_step(),
+        "boxes_from_step": _boxes(),
         "anomaly_rate_known": on_features(
             f"""SELECT model_id, count(*) > 10 AND bool_or(has_geometry)
  AND NOT (model_id = '{DRILLDOWN_MODEL}' AND bool_or(has_geometry AND entity_id % 20 = 3)) AS known FROM features GROUP BY model_id"""
