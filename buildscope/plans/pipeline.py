@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 from buildscope.operators import checks, metrics, portfolio
 from buildscope.operators.anomaly import to_anomalies
 from buildscope.operators.forest import AnomalyDetector
-from buildscope.operators.geometry import compute_geometry_features
+from buildscope.operators.geometry import attach_features, compute_geometry_features
 from buildscope.plans.tables import materialize
 from buildscope.schemas import FEATURES, GEOMETRY_COLUMNS
-from buildscope.sources import step, step_files, tables
+from buildscope.sources import step, step_files, step_shapes, tables
 
 
 def run_portfolio_analysis(
@@ -72,14 +72,16 @@ def analyse_directory(
     archives: bool = False,
     types: DataFrame | None = None,
     record_end: str | None = step.DETECT,
+    shapes: bool = True,
     **options,
 ) -> DataFrame:
     """The workflow from a folder of model files.
 
     Every file, and with ``archives`` every ``.ifczip``, gives one result row: a file that cannot be read, or that holds no
     product, a failure row. Entity types outside the table of product types are counted under
-    ``unlisted_types``. ``meshes`` holds the world-coordinate vertices of the elements;
-    without it no element has geometry.
+    ``unlisted_types``. ``meshes`` holds the world-coordinate vertices of the elements; without it, boxes come from the
+    bodies in the files (``step_shapes.read_shapes``), and items of kinds that are not read are counted under ``unread_items``.
+    With ``shapes=False`` and without meshes no element has geometry.
     """
     listing = step.discover_models(spark, directory, recursive, "*.{ifc,ifczip}" if archives else "*.ifc")
     if record_end == step.DETECT:
@@ -110,11 +112,13 @@ def analyse_directory(
             F.col("model_id").alias("model_name"), F.col("path").alias("model_path"), F.lit("NoElements: no product in the file").alias("error_message")
         )
     )
-    if meshes is None:
-        features = elements.withColumns(
-            {"has_geometry": F.lit(False), **{c: F.lit(None).cast("double") for c in GEOMETRY_COLUMNS}}
-        )
-    else:
+    if meshes is not None:
         features = compute_geometry_features(elements, meshes)
+    elif shapes:
+        boxes, unread = step_shapes.read_shapes(entities, types)
+        unread.join(broken, "model_id", "left_anti").write.mode("overwrite").parquet(f"{output}/unread_items")
+        features = attach_features(elements, boxes)
+    else:
+        features = elements.withColumns({"has_geometry": F.lit(False), **{c: F.lit(None).cast("double") for c in GEOMETRY_COLUMNS}})
     paths = checked.filter("is_valid").select("model_id", "path")
     return run_portfolio_analysis(features, output, failures=failures, paths=paths, **options)
