@@ -697,7 +697,12 @@ def anomaly_confidence(spark, sf):
     )
 
 
-# --- outliers: the forest (no SQL form) --------------------------------------------
+# --- outliers: the forest ----------------------------------------------------------
+
+
+def _keyed(spark: SparkSession, sf: str) -> DataFrame:
+    """Elements whose key SQL can say as well. A few rows share it; they are drawn alike."""
+    return _features(spark, sf).withColumn("element_key", F.col("entity_id"))
 
 
 def _detector() -> forest.AnomalyDetector:
@@ -706,23 +711,23 @@ def _detector() -> forest.AnomalyDetector:
 
 @query
 def forest_nodes(spark, sf):
-    fitted = _detector().fit(_features(spark, sf)).forest
-    return forest.forest_nodes(fitted.trees)
+    fitted = _detector().fit(_keyed(spark, sf)).forest
+    return rounded(forest.forest_nodes(fitted.trees), "threshold")
 
 
 @query
 def forest_scores(spark, sf):
-    return _detector().fit_predict(_features(spark, sf)).drop("element_key")
+    return rounded(_detector().fit_predict(_keyed(spark, sf)).drop("element_key"), *ML, "anomaly_probability")
 
 
 @query
 def detect_anomalies(spark, sf):
-    return forest.detect_anomalies(_features(spark, sf))[0]
+    return rounded(forest.detect_anomalies(_keyed(spark, sf))[0], "anomaly_probability")
 
 
 @query
 def forest_roundtrip(spark, sf):
     path = forest.forest_path(spark)
-    rows = _features(spark, sf)
+    rows = _keyed(spark, sf)
     _detector().fit(rows).save_model(path)
-    return forest.AnomalyDetector.load_model(spark, path).get_anomalies(rows)
+    return rounded(forest.AnomalyDetector.load_model(spark, path).get_anomalies(rows), "anomaly_probability")

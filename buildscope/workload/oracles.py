@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from buildscope.operators import forest
 from buildscope.operators.preprocess import ML_FEATURES
 from buildscope.schemas import FEATURES, GEOMETRY_COLUMNS
 from buildscope.workload.catalog import CUSTOM_WEIGHTS, DRILLDOWN_MODEL
@@ -89,16 +90,16 @@ def results_sql(with_anomalies: bool = False, with_failures: bool = True) -> str
     return sql
 
 
-def selected_sql(columns: list[str]) -> str:
-    return f"SELECT model_id, global_id, ifc_type, {', '.join(columns)} FROM features WHERE has_geometry"
+def selected_sql(columns: list[str], kept: str = "") -> str:
+    return f"SELECT model_id, global_id, ifc_type, {kept}{', '.join(columns)} FROM features WHERE has_geometry"
 
 
 def fills_sql(columns: list[str], value: str = "quantile_cont({c}, 0.5)") -> str:
     return "SELECT model_id, " + ", ".join(f"coalesce({value.format(c=c)}, 0) AS f_{c}" for c in columns) + " FROM selected GROUP BY model_id"
 
 
-def filled_sql(columns: list[str]) -> str:
-    return "SELECT s.model_id, global_id, ifc_type, " + ", ".join(f"coalesce({c}, f_{c}) AS {c}" for c in columns) + " FROM selected s JOIN fills f ON s.model_id = f.model_id"
+def filled_sql(columns: list[str], kept: str = "") -> str:
+    return f"SELECT s.model_id, global_id, ifc_type, {kept}" + ", ".join(f"coalesce({c}, f_{c}) AS {c}" for c in columns) + " FROM selected s JOIN fills f ON s.model_id = f.model_id"
 
 
 def robust_sql(columns: list[str], source: str = "filled") -> str:
@@ -109,8 +110,8 @@ def robust_sql(columns: list[str], source: str = "filled") -> str:
     return f"SELECT model_id, {', '.join(made)} FROM {source} GROUP BY model_id"
 
 
-def prepared_sql(columns: list[str], source: str = "filled", factor: str = "") -> str:
-    return "SELECT p.model_id, global_id, ifc_type, " + ", ".join(f"({c}{factor} - m_{c}) / s_{c} AS {c}" for c in columns) + f" FROM {source} p JOIN scaler USING (model_id)"
+def prepared_sql(columns: list[str], source: str = "filled", factor: str = "", kept: str = "") -> str:
+    return f"SELECT p.model_id, global_id, ifc_type, {kept}" + ", ".join(f"({c}{factor} - m_{c}) / s_{c} AS {c}" for c in columns) + f" FROM {source} p JOIN scaler USING (model_id)"
 
 
 FLAGGED = {
@@ -648,7 +649,90 @@ def _outliers() -> dict[str, str]:
     }
 
 
+TREES, MOST, SEED = 100, forest.MAX_SAMPLES, 42
+
+
+def _forest() -> dict[str, str]:
+    """The trees grown level by level over all models at once, and every row sent down all of them."""
+    values = f"[{', '.join(ML)}]"
+    ends = {end: "[" + ", ".join(f"{end}({c})" for c in ML) + "]" for end in ("min", "max")}
+
+    def word(at: int, digits: int = 8) -> str:
+        return f"CAST('0x' || substr(digest, {at}, {digits}) AS BIGINT)"
+
+    def path(size: str) -> str:
+        return f"""CASE WHEN {size} <= 1 THEN CAST(0 AS DOUBLE) WHEN {size} = 2 THEN CAST(1 AS DOUBLE)
+ ELSE 2 * (ln({size} - 1) + CAST({forest.EULER_GAMMA} AS DOUBLE)) - 2 * CAST({size} - 1 AS DOUBLE) / {size} END"""
+
+    kept = "entity_id, "
+    whole = {
+        "selected": selected_sql(ML, kept),
+        "fills": fills_sql(ML),
+        "filled": filled_sql(ML, kept),
+        "scaler": robust_sql(ML),
+        "prepared": f"SELECT row_number() OVER (ORDER BY model_id, entity_id, {', '.join(ML)}) AS number, * FROM ({prepared_sql(ML, kept=kept)})",
+        "sizes": f"""SELECT model_id, n AS sample_size, CAST(ceil(log2(greatest(2, n))) AS INTEGER) AS deepest
+ FROM (SELECT model_id, CAST(least({MOST}, count(*)) AS INTEGER) AS n FROM prepared GROUP BY model_id)""",
+        "trees": f"""SELECT tree, {word(1)} % {forest.PRIME} AS a, {word(9)} % {forest.PRIME} AS b, {word(17)} % {forest.PRIME} AS c
+ FROM (SELECT CAST(range AS INTEGER) AS tree, md5('{SEED}:' || CAST(range AS VARCHAR)) AS digest FROM range({TREES}))""",
+        "points": f"""SELECT number, model_id, {word(1)} % {forest.PRIME} AS x, {word(9)} % {forest.PRIME} AS y
+ FROM (SELECT number, model_id, md5('{SEED}:' || model_id || ':' || CAST(entity_id AS VARCHAR)) AS digest FROM prepared)""",
+        "sampled": f"""SELECT number, tree FROM (SELECT number, tree,
+ row_number() OVER (PARTITION BY model_id, tree ORDER BY (a * x + b * y + c) % {forest.PRIME}, number) AS r FROM points CROSS JOIN trees) WHERE r <= {MOST}""",
+        "level_0": f"SELECT model_id, tree, CAST(1 AS BIGINT) AS place, {', '.join(ML)} FROM sampled JOIN prepared USING (number)",
+    }
+    levels = (MOST - 1).bit_length()
+    for depth in range(levels + 1):
+        whole[f"nodes_{depth}"] = f"""SELECT model_id, tree, place, size, feature, CASE WHEN feature < 0 THEN CAST(0 AS DOUBLE)
+ WHEN low + share * (high - low) >= high THEN low ELSE low + share * (high - low) END AS threshold FROM (
+ SELECT *, lows[feature + 1] AS low, highs[feature + 1] AS high FROM (
+ SELECT *, CAST({word(9, 13)} AS DOUBLE) / {1 << 52} AS share,
+ CASE WHEN size > 1 AND len(varying) > 0 AND {depth} < deepest THEN varying[CAST(({word(1)} * len(varying)) >> 32 AS INTEGER) + 1] ELSE -1 END AS feature FROM (
+ SELECT *, md5('{SEED}:' || model_id || ':' || CAST(tree AS VARCHAR) || ':' || CAST(place AS VARCHAR)) AS digest,
+ list_filter(range({len(ML)}), lambda i: highs[i + 1] > lows[i + 1]) AS varying FROM (
+ SELECT model_id, tree, place, CAST(count(*) AS INTEGER) AS size, {ends['min']} AS lows, {ends['max']} AS highs
+ FROM level_{depth} GROUP BY model_id, tree, place) JOIN sizes USING (model_id))))"""
+        whole[f"level_{depth + 1}"] = f"""SELECT model_id, tree, 2 * place + CASE WHEN {values}[feature + 1] > threshold THEN 1 ELSE 0 END AS place, {', '.join(ML)}
+ FROM level_{depth} JOIN nodes_{depth} USING (model_id, tree, place) WHERE feature >= 0"""
+    del whole[f"level_{levels + 1}"]
+    whole["nodes"] = " UNION ALL ".join(f"SELECT *, {depth} AS depth FROM nodes_{depth}" for depth in range(levels + 1))
+    walk = f"SELECT number, model_id, tree, CAST(1 AS BIGINT) AS place, {values} AS x FROM prepared CROSS JOIN trees"
+    for _ in range(levels):
+        walk = f"""SELECT number, model_id, tree, x, CASE WHEN feature < 0 THEN place WHEN x[feature + 1] > threshold THEN 2 * place + 1 ELSE 2 * place END AS place
+ FROM ({walk}) JOIN nodes USING (model_id, tree, place)"""
+    scored = {
+        "paths": f"SELECT number, avg(depth + {path('size')}) AS length FROM ({walk}) JOIN nodes USING (model_id, tree, place) GROUP BY number",
+        "scored": f"""SELECT p.*, round(CASE WHEN sample_size > 1 THEN -pow(CAST(2 AS DOUBLE), -length / ({path('sample_size')})) ELSE CAST(-0.5 AS DOUBLE) END, {forest.SCORE_DIGITS})
+ AS anomaly_score FROM prepared p JOIN paths USING (number) JOIN sizes USING (model_id)""",
+        "limits": FLAGGED["limits"],
+        "flagged": f"""SELECT s.model_id, global_id, ifc_type, {', '.join(ML)}, anomaly_score, anomaly_score < score_limit AS is_anomaly,
+ CASE WHEN high = low THEN CAST(0.5 AS DOUBLE) ELSE 1 - (anomaly_score - low) / (high - low) END AS anomaly_probability
+ FROM scored s JOIN limits l ON s.model_id = l.model_id""",
+    }
+
+    def of(body: str, **ctes: str) -> str:
+        return "WITH " + ", ".join(f"{name} AS MATERIALIZED ({sql})" for name, sql in {"features": FEATURES_SQL, **ctes}.items()) + " " + body
+
+    numbered = "SELECT *, CAST(row_number() OVER (PARTITION BY model_id, tree ORDER BY place) - 1 AS INTEGER) AS node FROM nodes"
+    shown = f"SELECT model_id, global_id, ifc_type, is_anomaly, anomaly_score, {r6('anomaly_probability')} FROM flagged"
+    tenth = """SELECT model_id, min(anomaly_score) AS low, max(anomaly_score) AS high, quantile_cont(anomaly_score, 0.1) AS score_limit
+ FROM scored GROUP BY model_id"""
+    return {
+        "forest_nodes": of(
+            """SELECT n.model_id, n.tree, sample_size, n.node, CAST(n.feature AS INTEGER) AS feature, round(n.threshold, 6) + 0 AS threshold,
+ CAST(coalesce(l.node, -1) AS INTEGER) AS "left", CAST(coalesce(l.node + 1, -1) AS INTEGER) AS "right", n.size, n.depth
+ FROM numbered n JOIN sizes USING (model_id) LEFT JOIN numbered l ON l.model_id = n.model_id AND l.tree = n.tree AND l.place = 2 * n.place""",
+            **whole, numbered=numbered,
+        ),
+        "forest_scores": of(
+            f"SELECT model_id, global_id, ifc_type, is_anomaly, anomaly_score, {r6(*ML, 'anomaly_probability')} FROM flagged", **whole, **scored
+        ),
+        "detect_anomalies": of(shown, **whole, **{**scored, "limits": tenth}),
+        "forest_roundtrip": of(shown, **whole, **scored),
+    }
+
+
 def all_sql() -> dict[str, str]:
     return {
-        **_sources(), **_geometry(), **_profiles(), **_checks(), **_metrics(), **_portfolio(), **_views(), **_outliers(),
+        **_sources(), **_geometry(), **_profiles(), **_checks(), **_metrics(), **_portfolio(), **_views(), **_outliers(), **_forest(),
     }
