@@ -1,7 +1,8 @@
 """Portfolio roll-up: one row per model, then one row overall.
 
 Inputs after ``model_results`` have one row per model, so their exact percentiles and
-top lists are over models, not elements.
+top lists are over models, not elements. The roll-ups read such a table several times and
+write it first, unless it is a written one.
 """
 
 from __future__ import annotations
@@ -20,6 +21,8 @@ from buildscope.operators.metrics import (
     metadata_completeness,
     quality_score,
 )
+from buildscope.plans.quantiles import overall_quantiles, quantile_name
+from buildscope.plans.tables import materialize
 from buildscope.schemas import MODEL_RESULTS
 
 SUCCESS, FAILURE = "success", "failure"
@@ -138,12 +141,21 @@ def successes(results: DataFrame) -> DataFrame:
     return results.filter(F.col("status") == SUCCESS)
 
 
+def _written(results: DataFrame) -> DataFrame:
+    return results if hasattr(results, "_scratch_path") else materialize(results, "results")
+
+
 def portfolio_kpis(results: DataFrame) -> DataFrame:
     """One row of portfolio KPIs; no row for an empty portfolio.
 
     Without any successful model only the three counts are set.
     """
+    results = _written(results)
     ok = F.col("status") == SUCCESS
+    ranks = overall_quantiles(successes(results), ["quality_score", "issue_rate_per_1k", "runtime_seconds"], [0.5, 0.95])
+
+    def rank(column: str, prob: float) -> Column:
+        return F.first(ranks[quantile_name(column, prob)])
 
     def of(column: str) -> Column:
         return F.when(ok, F.col(column))
@@ -156,7 +168,7 @@ def portfolio_kpis(results: DataFrame) -> DataFrame:
             F.count_if(~ok).alias("failed_models"),
             F.when(success > 0, success / F.count(F.lit(1))).alias("success_rate"),
             F.avg(of("quality_score")).alias("avg_quality_score"),
-            F.median(of("quality_score")).alias("median_quality_score"),
+            rank("quality_score", 0.5).alias("median_quality_score"),
             F.min(of("quality_score")).alias("min_quality_score"),
             F.max(of("quality_score")).alias("max_quality_score"),
             F.stddev_samp(of("quality_score")).alias("std_quality_score"),
@@ -165,14 +177,14 @@ def portfolio_kpis(results: DataFrame) -> DataFrame:
             F.sum(of("major_issues")).alias("total_major_issues"),
             F.sum(of("minor_issues")).alias("total_minor_issues"),
             F.avg(of("issue_rate_per_1k")).alias("avg_issue_rate_per_1k"),
-            F.median(of("issue_rate_per_1k")).alias("median_issue_rate_per_1k"),
-            F.percentile(of("issue_rate_per_1k"), 0.95).alias("p95_issue_rate_per_1k"),
+            rank("issue_rate_per_1k", 0.5).alias("median_issue_rate_per_1k"),
+            rank("issue_rate_per_1k", 0.95).alias("p95_issue_rate_per_1k"),
             F.sum(of("element_count")).alias("total_elements"),
             F.avg(of("element_count")).alias("avg_elements_per_model"),
             F.avg(of("metadata_completeness_pct")).alias("avg_metadata_completeness"),
             F.sum(of("runtime_seconds")).alias("total_runtime_seconds"),
             F.avg(of("runtime_seconds")).alias("avg_runtime_seconds"),
-            F.percentile(of("runtime_seconds"), 0.95).alias("p95_runtime_seconds"),
+            rank("runtime_seconds", 0.95).alias("p95_runtime_seconds"),
         )
         .filter(F.col("total_models") > 0)
     )
@@ -189,15 +201,15 @@ def best_worst_model(results: DataFrame) -> DataFrame:
 
 def portfolio_anomaly_kpis(results: DataFrame) -> DataFrame:
     """Outlier totals and rates over models that were searched; no row when none was."""
+    searched = successes(_written(results)).filter(F.col("anomaly_rate").isNotNull())
+    ranks = overall_quantiles(searched, ["anomaly_rate"], [0.5, 0.95])
     return (
-        successes(results)
-        .filter(F.col("anomaly_rate").isNotNull())
-        .agg(
+        searched.agg(
             F.count(F.lit(1)).alias("models_with_ml"),
             F.sum("anomaly_count").alias("total_anomalies"),
             F.avg("anomaly_rate").alias("avg_anomaly_rate"),
-            F.median("anomaly_rate").alias("median_anomaly_rate"),
-            F.percentile("anomaly_rate", 0.95).alias("p95_anomaly_rate"),
+            F.first(ranks[quantile_name("anomaly_rate", 0.5)]).alias("median_anomaly_rate"),
+            F.first(ranks[quantile_name("anomaly_rate", 0.95)]).alias("p95_anomaly_rate"),
             F.max("anomaly_rate").alias("max_anomaly_rate"),
         )
         .filter(F.col("models_with_ml") > 0)
@@ -227,6 +239,7 @@ def below_threshold(results: DataFrame, threshold: float = 80.0) -> DataFrame:
 
 def portfolio_metrics(results: DataFrame, threshold: float = 80.0) -> DataFrame:
     """The portfolio document: KPIs, best and worst model, outlier roll-up and top lists in one row."""
+    results = _written(results)
 
     def top_list(column: str, name: str) -> DataFrame:
         ranked = top_models(results, column).select(

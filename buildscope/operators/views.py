@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from buildscope.operators.metrics import issue_counts, model_summary, pareto
 from buildscope.operators.portfolio import FAILURE, anomaly_counts, successes
+from buildscope.plans.quantiles import overall_quantiles, quantile_name
+from buildscope.plans.tables import materialize
 
 # Display order of the severities.
 SEVERITY_ORDER = {"critical": 0, "major": 1, "minor": 2}
@@ -61,8 +63,9 @@ def issue_rate_histogram(results: DataFrame, bins: int = 20) -> DataFrame:
 
 
 def issue_rate_percentiles(results: DataFrame) -> DataFrame:
-    rate = F.col("issue_rate_per_1k")
-    return successes(results).agg(F.median(rate).alias("p50"), F.percentile(rate, 0.95).alias("p95"))
+    results = materialize(successes(results).select("issue_rate_per_1k"), "issue-rates")
+    ranks = overall_quantiles(results, ["issue_rate_per_1k"], [0.5, 0.95])
+    return results.agg(*[F.first(ranks[quantile_name("issue_rate_per_1k", prob)]).alias(name) for prob, name in ((0.5, "p50"), (0.95, "p95"))])
 
 
 def anomaly_rate_top(results: DataFrame, n: int = 10) -> DataFrame:

@@ -71,6 +71,13 @@ def exact_quantiles(
     )
 
 
+def overall_quantiles(rows: DataFrame, columns: Sequence[str], probs: Sequence[float]) -> dict[str, Column]:
+    """The same over all rows, by column name, as scalar subqueries; null without rows."""
+    found = exact_quantiles(rows.select(F.lit(0).alias("_all"), *columns), columns, probs, "_all")
+    row = found.select(F.struct("*").alias("_row")).scalar()
+    return {name: row[name] for name in found.columns if name != "_all"}
+
+
 def _by_map(base: DataFrame, columns: list[str], probs: list[float], key: str) -> DataFrame:
     lists = base.groupBy(key).agg(*[F.percentile(c, probs).alias(c) for c in columns])
     return lists.select(key, *[F.col(c)[j].alias(quantile_name(c, p)) for c in columns for j, p in enumerate(probs)])

@@ -91,6 +91,23 @@ def features_roundtrip(spark, sf):
     return tables.load_features(spark, path)
 
 
+@query
+def model_listing(spark, sf):
+    """The model files found in folders of several depths, archives included."""
+    folder = scratch_path(spark, "listed-files")
+    step_files.write_models(inputs.step_file_text(spark, sf), folder)
+    return step.discover_models(spark, folder, recursive=True, pattern="*.{ifc,ifczip}").select("model_id", (F.col("length") > 0).alias("filled"))
+
+
+@query
+def elements_csv(spark, sf):
+    """The element table from its CSV files, in which an empty text is no value."""
+    path = scratch_path(spark, "elements-csv")
+    rows = inputs.elements(spark, sf)
+    tables.save_elements_to_csv(rows, path)
+    return spark.read.schema(rows.schema).option("header", True).csv(path)
+
+
 @query
 def summary_report(spark, sf):
     report = step.summary_report(step.header_metadata(inputs.header_records(spark, sf)), inputs.elements(spark, sf))
@@ -362,17 +379,14 @@ def pareto_top_n(spark, sf):
     return metrics.pareto_issue_types(_issues(spark, sf), top_n=3)
 
 
-@query
-def metrics_document(spark, sf):
-    document, _ = metrics.build_metrics(_features(spark, sf), _issues(spark, sf), top_n=5)
-
+def _document_columns(document: DataFrame) -> DataFrame:
     def text(column):
         return F.array_join(
             F.transform(F.map_entries(column), lambda e: F.concat(e["key"], F.lit(":"), e["value"].cast("string"))), ","
         )
 
     head = F.array_join(
-        F.transform("pareto_issue_types", lambda e: F.concat(e["issue_type"], F.lit(":"), e["count"].cast("string"))), ","
+        F.transform("pareto_issue_types", lambda e: F.format_string("%s:%d:%.12f:%.12f", e["issue_type"], e["count"], e["pct"], e["cum_pct"])), ","
     )
     return rounded(
         document.select(
@@ -386,6 +400,20 @@ def metrics_document(spark, sf):
     )
 
 
+@query
+def metrics_document(spark, sf):
+    return _document_columns(metrics.build_metrics(_features(spark, sf), _issues(spark, sf), top_n=5)[0])
+
+
+@query
+def metrics_json(spark, sf):
+    """The document as it comes back from its JSON files."""
+    path = scratch_path(spark, "metrics-json")
+    document, _ = metrics.build_metrics(_features(spark, sf), _issues(spark, sf), top_n=5)
+    tables.save_metrics(document, path)
+    return _document_columns(spark.read.schema(document.schema).json(path))
+
+
 # --- portfolio ---------------------------------------------------------------------
 
 RESULT_FLOATS = ("quality_score", "issue_rate_per_1k", "metadata_completeness_pct", "anomaly_rate", "runtime_seconds")
@@ -477,15 +505,10 @@ def portfolio_metrics(spark, sf):
             F.transform(column, lambda e: F.concat(e["model_name"], F.lit(":"), e[value].cast("string"))), ","
         )
 
-    return rounded(
-        found.select(
-            "total_models", "success_models", "failed_models", "avg_quality_score", "best_model", "worst_model",
-            "total_anomalies", "avg_anomaly_rate", "models_below_threshold",
-            text("top_models_by_critical", "critical_issues").alias("top_models_by_critical"),
-            text("top_models_by_issues", "total_issues").alias("top_models_by_issues"),
-        ),
-        "avg_quality_score", "avg_anomaly_rate",
+    whole = found.withColumns(
+        {name: text(name, value) for name, value in (("top_models_by_critical", "critical_issues"), ("top_models_by_issues", "total_issues"))}
     )
+    return rounded(whole, *[f.name for f in whole.schema.fields if f.dataType.typeName() == "double"])
 
 
 # --- dashboard tables --------------------------------------------------------------
@@ -556,6 +579,18 @@ def model_drilldown(spark, sf):
     )
 
 
+@query
+def stored_drilldown(spark, sf):
+    """The same model from tables written for all models, without a search for outliers."""
+    path, rows = scratch_path(spark, "stored"), _features(spark, sf).select(*FEATURES.fieldNames())
+    tables.save_features(rows, f"{path}/features")
+    tables.save_issues(checks.run_all_checks(rows).select(*ISSUES.fieldNames()), f"{path}/issues")
+    features, issues, _ = tables.load_model_data(spark, path, DRILLDOWN_MODEL)
+    return rounded(
+        views.model_drilldown(features, issues, DRILLDOWN_MODEL), "quality_score", "issue_rate_per_1000", "name_pct", "object_type_pct", "geometry_pct"
+    )
+
+
 @query
 def top_issues(spark, sf):
     return views.top_issues(_issues(spark, sf))

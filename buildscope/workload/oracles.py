@@ -211,6 +211,11 @@ def _sources() -> dict[str, str]:
  LEFT JOIN (SELECT 'model_' || CAST(s_suppkey AS VARCHAR) || '.ifc' AS header_path FROM supplier JOIN nation ON s_nationkey = n_nationkey) ON path = header_path
  LEFT JOIN (SELECT DISTINCT model_id || '.ifc' AS entity_path FROM features) ON path = entity_path)"""
         ),
+        "model_listing": on_features(
+            """SELECT DISTINCT CASE WHEN entity_id // 10000000 % 8 <= 3 THEN 'a/' ELSE 'b/' END || model_id AS model_id, TRUE AS filled FROM features
+ UNION ALL SELECT 'empty/supplier_' || CAST(s_suppkey AS VARCHAR), TRUE FROM supplier WHERE s_suppkey % 20 = 3"""
+        ),
+        "elements_csv": on_features(f"SELECT * REPLACE (nullif(name, '') AS name, nullif(object_type, '') AS object_type) FROM (SELECT {', '.join(ELEMENT)} FROM features)"),
         "features_roundtrip": on_features(f"SELECT {', '.join(FEATURES.fieldNames())} FROM features"),
         "summary_report": on_features(
             f"""SELECT h.model_id, schema, originating_system, total_elements, unique_types, ifc_type, type_count FROM ({header}) h
@@ -398,6 +403,13 @@ def _metrics() -> dict[str, str]:
         return f"(SELECT model_id, string_agg({column} || ':' || CAST(count AS VARCHAR), ',' ORDER BY rank) AS t FROM ({top(column, n)}) GROUP BY model_id)"
 
     pcts = r6("quality_score", "issue_rate_per_1000", "name_pct", "object_type_pct", "geometry_pct")
+    head = f"""(SELECT model_id, string_agg(printf('%s:%d:%.12f:%.12f', issue_type, count, pct, cum_pct), ',' ORDER BY rank) AS t
+ FROM ({shares}) WHERE rank <= 5 GROUP BY model_id)"""
+    document = on_summary(
+        f"""SELECT s.model_id, total_elements, total_issues, critical, major, minor, {pcts}, coalesce(a.t, '') AS top_ifc_types,
+ coalesce(b.t, '') AS top_issue_types, coalesce(c.t, '') AS pareto FROM summary s LEFT JOIN {listed('ifc_type', 5)} a ON s.model_id = a.model_id
+ LEFT JOIN {listed('issue_type', 5)} b ON s.model_id = b.model_id LEFT JOIN {head} c ON s.model_id = c.model_id"""
+    )
     return {
         "severity_breakdown": on_summary("SELECT model_id, critical, major, minor FROM summary"),
         "issue_rate": on_summary(
@@ -420,11 +432,8 @@ def _metrics() -> dict[str, str]:
         "issues_by_type": on_issues(by("issue_type")),
         "pareto": on_issues(shares),
         "pareto_top_n": on_issues(f"SELECT * FROM ({shares}) WHERE rank <= 3"),
-        "metrics_document": on_summary(
-            f"""SELECT s.model_id, total_elements, total_issues, critical, major, minor, {pcts}, coalesce(a.t, '') AS top_ifc_types,
- coalesce(b.t, '') AS top_issue_types, coalesce(b.t, '') AS pareto FROM summary s LEFT JOIN {listed('ifc_type', 5)} a ON s.model_id = a.model_id
- LEFT JOIN {listed('issue_type', 5)} b ON s.model_id = b.model_id"""
-        ),
+        "metrics_document": document,
+        "metrics_json": document,
     }
 
 
@@ -486,6 +495,11 @@ def _portfolio() -> dict[str, str]:
         + [f"CAST(sum({sql}){ok} AS BIGINT) AS {name}" for name, sql in sums.items()]
     )
 
+    counts = f"""count(*) AS total_models, count(*){ok} AS success_models, count(*) FILTER (WHERE status <> 'success') AS failed_models,
+ round(CAST(count(*){ok} AS DOUBLE) / count(*), 6) AS success_rate"""
+    rates = """round(avg(anomaly_rate), 6) AS avg_anomaly_rate, round(median(anomaly_rate), 6) AS median_anomaly_rate,
+ round(quantile_cont(anomaly_rate, 0.95), 6) AS p95_anomaly_rate, round(max(anomaly_rate), 6) AS max_anomaly_rate"""
+
     def top(column):
         return f"SELECT model_name, {column} {OK} ORDER BY {column} DESC, model_name LIMIT 5"
 
@@ -508,14 +522,11 @@ def _portfolio() -> dict[str, str]:
  WHEN count(*) > 10 THEN 0.05 END AS DOUBLE) AS contamination FROM features GROUP BY model_id"""
         ),
         "portfolio_kpis": on_results(
-            f"""SELECT count(*) AS total_models, count(*){ok} AS success_models, count(*) FILTER (WHERE status <> 'success') AS failed_models,
- round(CAST(count(*){ok} AS DOUBLE) / count(*), 6) AS success_rate, {kpi_list} FROM results"""
+            f"SELECT {counts}, {kpi_list} FROM results"
         ),
         "best_worst_model": on_results(f"SELECT {best} AS best_model, {worst} AS worst_model"),
         "portfolio_anomaly_kpis": on_results(
-            f"""SELECT count(*) AS models_with_ml, CAST(sum(anomaly_count) AS BIGINT) AS total_anomalies, round(avg(anomaly_rate), 6) AS avg_anomaly_rate,
- round(median(anomaly_rate), 6) AS median_anomaly_rate, round(quantile_cont(anomaly_rate, 0.95), 6) AS p95_anomaly_rate,
- round(max(anomaly_rate), 6) AS max_anomaly_rate {OK} AND anomaly_rate IS NOT NULL""",
+            f"SELECT count(*) AS models_with_ml, CAST(sum(anomaly_count) AS BIGINT) AS total_anomalies, {rates} {OK} AND anomaly_rate IS NOT NULL",
             anomalies=True,
         ),
         "top_models_critical": on_results(top("critical_issues")),
@@ -525,10 +536,10 @@ def _portfolio() -> dict[str, str]:
  round(CAST(count(*) FILTER (WHERE quality_score < 80) AS DOUBLE) / count(*) * 100, 6) AS pct_below_threshold {OK}"""
         ),
         "portfolio_metrics": on_results(
-            f"""SELECT count(*) AS total_models, count(*){ok} AS success_models, count(*) FILTER (WHERE status <> 'success') AS failed_models,
- round(avg(quality_score){ok}, 6) AS avg_quality_score, {best} AS best_model, {worst} AS worst_model,
- CAST(sum(anomaly_count) AS BIGINT) AS total_anomalies, round(avg(anomaly_rate), 6) AS avg_anomaly_rate,
- count(*) FILTER (WHERE status = 'success' AND quality_score < 80) AS models_below_threshold,
+            f"""SELECT {counts}, {kpi_list}, {best} AS best_model, {worst} AS worst_model,
+ CAST(sum(anomaly_count) AS BIGINT) AS total_anomalies, {rates},
+ CAST(80 AS DOUBLE) AS quality_threshold, count(*) FILTER (WHERE status = 'success' AND quality_score < 80) AS models_below_threshold,
+ round(CAST(count(*) FILTER (WHERE status = 'success' AND quality_score < 80) AS DOUBLE) / greatest(count(*){ok}, 1) * 100, 6) AS pct_below_threshold,
  {listed('critical_issues')} AS top_models_by_critical, {listed('total_issues')} AS top_models_by_issues FROM results""",
             anomalies=True,
         ),
@@ -582,6 +593,10 @@ def _views() -> dict[str, str]:
  FROM summary WHERE model_id = '{DRILLDOWN_MODEL}'""",
             anomalies=True,
         ),
+        "stored_drilldown": on_summary(
+            f"""SELECT model_id, total_elements, total_issues, critical, major, minor,
+ {r6('quality_score', 'issue_rate_per_1000', 'name_pct', 'object_type_pct', 'geometry_pct')} FROM summary WHERE model_id = '{DRILLDOWN_MODEL}'"""
+        ),
         "top_issues": on_issues(
             f"""SELECT * FROM (SELECT model_id, {ranked("CASE severity WHEN 'critical' THEN 0 WHEN 'major' THEN 1 ELSE 2 END, global_id, issue_type, message, ifc_type, element_name NULLS FIRST")} AS rank,
  severity, issue_type, ifc_type, global_id, element_name, message FROM issues) WHERE rank <= 20"""
