@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,6 +26,7 @@ def run_portfolio_analysis(
     n_estimators: int = 100,
     quality_threshold: float = 80.0,
     limits: checks.Limits = checks.Limits(),
+    started: float | None = None,
 ) -> DataFrame:
     """Check, score and roll up every model; write all tables under ``output``.
 
@@ -31,8 +34,11 @@ def run_portfolio_analysis(
     results, and returns the portfolio document. Each stage reads what the one before
     it wrote. ``failures`` are models that could not be read, as
     (model_name, model_path, error_message); ``paths`` (model_id, path) are where the others
-    came from.
+    came from. A model's runtime is its share, by elements, of the seconds measured from
+    ``started`` (``time.monotonic()``, by default the call) to the roll-up: models are worked on
+    together, so there is no other time of a single one.
     """
+    started = time.monotonic() if started is None else started
     spark = features.sparkSession
     kept = [c for c in (*FEATURES.fieldNames(), "element_key") if c in features.columns]
     tables.save_by_model(features.select(*kept), f"{output}/features")
@@ -53,7 +59,9 @@ def run_portfolio_analysis(
         tables.save_anomalies(to_anomalies(detector.fit_predict(rows)), f"{output}/anomalies")
         anomalies = tables.load_anomalies(spark, f"{output}/anomalies")
 
-    results = portfolio.model_results(rows, anomalies, limits=limits, paths=paths)
+    total = rows.agg(F.count(F.lit(1))).scalar()
+    runtime = F.lit(time.monotonic() - started) * F.col("element_count") / total
+    results = portfolio.model_results(rows, anomalies, runtime, limits=limits, paths=paths)
     if failures is not None:
         results = portfolio.with_failures(results, failures)
     results = materialize(results, "results")
@@ -83,6 +91,7 @@ def analyse_directory(
     bodies in the files (``step_shapes.read_shapes``), and items of kinds that are not read are counted under ``unread_items``.
     With ``shapes=False`` and without meshes no element has geometry.
     """
+    started = time.monotonic()
     listing = step.discover_models(spark, directory, recursive, "*.{ifc,ifczip}" if archives else "*.ifc")
     if record_end == step.DETECT:
         records = step_files.read_models(spark, directory, recursive, archives=archives)
@@ -121,4 +130,4 @@ def analyse_directory(
     else:
         features = elements.withColumns({"has_geometry": F.lit(False), **{c: F.lit(None).cast("double") for c in GEOMETRY_COLUMNS}})
     paths = checked.filter("is_valid").select("model_id", "path")
-    return run_portfolio_analysis(features, output, failures=failures, paths=paths, **options)
+    return run_portfolio_analysis(features, output, failures=failures, paths=paths, started=started, **options)

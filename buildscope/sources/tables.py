@@ -1,7 +1,7 @@
 """Reading and writing the engine's tables.
 
-Large tables are Parquet, one folder per model where a reader wants single models.
-CSV and JSON are exports of small results.
+Large tables are Parquet, sorted by model where a reader wants single models. CSV and
+JSON are exports of small results.
 """
 
 from __future__ import annotations
@@ -16,16 +16,18 @@ from buildscope.schemas import ANOMALIES, FEATURES, ISSUES, MODEL_RESULTS
 
 
 def save_by_model(df: DataFrame, path: str) -> None:
-    """Write a table with one folder per model.
+    """Write a table in which the rows of a model lie together.
 
-    Rebalancing brings a model's rows together for few files, and splits a large model
-    over many tasks. Sorted by model, a task keeps one file open at a time.
+    Rebalancing brings a model's rows to one task and splits a large model over many. The
+    number of files follows the size of the table, not the number of models: each file is
+    sorted by model, so a filter on one model skips row groups by dictionary or Bloom filter,
+    and pages by their lowest and highest model.
     """
     (
         df.hint("rebalance", "model_id")
         .sortWithinPartitions("model_id")
         .write.mode("overwrite")
-        .partitionBy("model_id")
+        .option("parquet.bloom.filter.enabled#model_id", True)
         .parquet(path)
     )
 
@@ -35,7 +37,7 @@ def save_features(features: DataFrame, path: str) -> None:
 
 
 def load_features(spark: SparkSession, path: str) -> DataFrame:
-    """The feature table; raises when it is missing. A filter on model_id reads that folder only."""
+    """The feature table; raises when it is missing. A filter on model_id reads the pages with that model."""
     return missing_to_null(spark.read.schema(FEATURES).parquet(path))
 
 

@@ -72,7 +72,7 @@ def test_forest_of_a_hot_model(skewed, large_ways):
     assert rows_of(first, *columns) == rows_of(second, *columns)
 
 
-def test_written_folders_split_a_hot_model(spark, skewed, tmp_path):
+def test_a_written_table_holds_all_rows_of_a_hot_model(spark, skewed, tmp_path):
     from buildscope.sources.tables import save_by_model
 
     save_by_model(skewed.select("model_id", "global_id"), str(tmp_path / "t"))
