@@ -109,3 +109,37 @@ def test_near_copies_give_few_pairs(spark):
     described = jaccard_join.describe(docs, 5, 80).cache()
     members = jaccard_join.prefix_groups(described).withColumn("label", F.col("class"))
     assert jaccard_join.star_pairs(members, 80, 0).count() <= 4 * len(rows)
+
+
+def test_pairs_just_below_the_similarity_grow_with_the_members(spark, monkeypatch):
+    """Near copies about the threshold: few pairs for each member in all rounds, and the same components as by all pairs."""
+    draw = random.Random(6)
+    base = [f"w{i}" for i in range(150)]
+    rows = []
+    for i in range(300):
+        words = list(base)
+        for _ in range(draw.choice([1, 2, 2, 2, 2])):
+            words[draw.randrange(len(words))] = f"x{i} {draw.randrange(10**6)}"
+        rows.append((i, " ".join(words)))
+    counts, real = [], jaccard_join.verified
+
+    def counted(pairs, sets, least):
+        counts.append(pairs.count())
+        return real(pairs, sets, least)
+
+    monkeypatch.setattr(jaccard_join, "verified", counted)
+    assert answer(spark, rows, 4, 85) == plain(rows, 4, 85)
+    assert sum(counts) <= 20 * len(rows), counts
+
+
+def test_drawn_pairs_are_those_of_least_draw_in_both_directions():
+    ends = [(0, 0, 0, c, c, 100, 0) for c in range(40)]
+    numbers, parts = jaccard_join.np.array(ends).T, jaccard_join.np.zeros((40, jaccard_join.PARTS), "int16")
+    every = {tuple(p) for p in jaccard_join._cross(numbers, parts, 85, None, 1).T.tolist()}
+    assert every == {(a, b) for b in range(40) for a in range(b)}
+    for cells in (1, 1 << 14):
+        jaccard_join.CELLS, before = cells, jaccard_join.CELLS
+        few = {tuple(p) for p in jaccard_join._cross(numbers, parts, 85, 3, 1).T.tolist()}
+        jaccard_join.CELLS = before
+        assert few < every and len(few) <= 2 * 3 * 40
+        assert all(sum(c in p for p in few) >= 3 for c in range(40))
