@@ -201,35 +201,30 @@ class Lattice:
         if not self.alone.issuperset(part):
             first, *others = self.search(part)
             return first.score, first.ids, first.score - others[0].score if others else ALONE
-        found = list(self.finder.iter(part))
-        forward = [0.0] + [NEVER] * len(part)
-        for last, (length, _, score) in found:
-            total = forward[last + 1 - length] + score
-            if total > forward[last + 1]:
-                forward[last + 1] = total
-        path: list[tuple[int, ...]] = []
-        place, gathered, second, high = len(part), 0.0, NEVER, len(found)
-        while place:
-            while found[high - 1][0] >= place:
-                high -= 1
-            low = high - 1
-            while low and found[low - 1][0] == place - 1:
-                low -= 1
-            best, highest = None, NEVER
-            for _, arc in found[low:high]:
-                total = forward[place - arc[0]] + arc[2]
-                if total > highest:
-                    if best is not None and gathered + highest > second:
-                        second = gathered + highest
-                    best, highest = arc, total
-                elif gathered + total > second:
-                    second = gathered + total
-            place -= best[0]
-            gathered += best[2]
-            path.append(best[1])
-            high = low
-        path.reverse()
-        return gathered, tuple(chain.from_iterable(path)), gathered - second if second > NEVER else ALONE
+        # Best total of the prefix that ends at each character, the arc that gives it, and the total of the next best arc. The empty
+        # prefix stands last, where index -1 finds it.
+        size = len(part)
+        forward, runner_up = [NEVER] * size + [0.0], [NEVER] * size
+        arcs: list[Arc] = [(1, (), NEVER)] * size
+        for last, arc in self.finder.iter(part):
+            total = forward[last - arc[0]] + arc[2]
+            highest = forward[last]
+            if total > highest:
+                runner_up[last], forward[last], arcs[last] = highest, total, arc
+            elif total > runner_up[last]:
+                runner_up[last] = total
+        path: list[int] = []
+        last, gathered, second = size - 1, 0.0, NEVER
+        while last >= 0:
+            other = gathered + runner_up[last]
+            if other > second:
+                second = other
+            length, ids, score = arcs[last]
+            path += ids
+            gathered += score
+            last -= length
+        path.reverse()  # one id for each arc, as every character is a piece
+        return gathered, tuple(path), gathered - second if second > NEVER else ALONE
 
     def word_best(self, word: str) -> Best:
         """Score and ids of the best segmentation of some parts, and what the second costs."""

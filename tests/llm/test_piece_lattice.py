@@ -104,3 +104,16 @@ def test_the_query_searches_every_text(spark, tmp_path):
     docs.write.parquet(f"{tmp_path}/documents.parquet")
     found = {r.doc_id: r for r in QUERIES["op10_sentencepiece"](spark, str(tmp_path)).collect()}
     assert [len(found[k].nbest_sha256) for k in (1, 2)] == [piece_lattice.NBEST, 1]
+
+
+def test_the_best_of_a_part_and_the_cost_of_the_second():
+    """In one pass as by all paths, where many segmentations compete or have equal scores."""
+    lattice = piece_lattice.lattice(MODEL, 2)
+    draw = random.Random(9)
+    for size in [1, 1, 2, 3, 5, 8, 11] * 12:
+        part = "".join(draw.choice("aeinrst▁") for _ in range(size))
+        paths = all_paths(lattice, part)
+        score, ids, gap = lattice.part_best(part)
+        assert (score, ids) in paths and score == paths[0][0]
+        assert gap == (paths[0][0] - paths[1][0] if len(paths) > 1 else piece_lattice.ALONE)
+    assert lattice.part_best("") == (0.0, (), piece_lattice.ALONE)
