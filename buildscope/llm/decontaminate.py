@@ -31,7 +31,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from buildscope.llm.common import arrow_type, chunks
+from buildscope.llm.common import arrow_type, chunks, tidy
 
 Q = 10
 RATE = 0.06
@@ -269,7 +269,7 @@ def find_leaks(
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter(F.length("text") >= Q)
     out = None
     for shared in _indexes(benchmark, item_col, item_text):
-        found = rows.mapInArrow(lambda batches, shared=shared: _search(batches, shared.value, in_arrow), schema)
+        found = rows.mapInArrow(tidy(lambda batches, shared=shared: _search(batches, shared.value, in_arrow)), schema)
         out = found if out is None else out.unionByName(found)
     return out.withColumnsRenamed({"id": id_col, "item": item_col})
 
@@ -283,7 +283,7 @@ def drop_leaking(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text
                 leaking = {f[0] for f in leaks_in([t or "" for t in batch.column(text_col).to_pylist()], shared.value)}
                 yield batch.filter(pa.array([i not in leaking for i in range(batch.num_rows)], pa.bool_()))
 
-        docs = docs.mapInArrow(keep, docs.schema)
+        docs = docs.mapInArrow(tidy(keep), docs.schema)
     return docs
 
 

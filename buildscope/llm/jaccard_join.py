@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from buildscope.llm.common import byte_texts, chunks, partitions
+from buildscope.llm.common import byte_texts, chunks, partitions, tidy
 from buildscope.llm.components import components
 from buildscope.llm.repeats import BASES, Rolling, mixed
 from buildscope.plans.tables import materialize, release
@@ -112,8 +112,8 @@ def bucket_counts(docs: DataFrame, size: int) -> np.ndarray:
 
     # Several partitions in a task, so that partial sketches stay a small part of the input, and tasks do not grow with it.
     tasks = max(2 * spark.sparkContext.defaultParallelism, -(-docs.rdd.getNumPartitions() // PARTITIONS_PER_SKETCH))
-    parts = docs.coalesce(tasks).mapInArrow(count, "row int, counts binary")
-    summed = parts.repartition(partitions(spark), "row").mapInArrow(add, "row int, counts binary")
+    parts = docs.coalesce(tasks).mapInArrow(tidy(count), "row int, counts binary")
+    summed = parts.repartition(partitions(spark), "row").mapInArrow(tidy(add), "row int, counts binary")
     out = np.zeros(BUCKETS, np.int32)
     for row in summed.collect():  # BUCKETS numbers, whatever the size of the input
         out[row.row * BUCKETS_PER_ROW : (row.row + 1) * BUCKETS_PER_ROW] = np.frombuffer(bytes(row.counts), np.int32)
@@ -155,7 +155,7 @@ def describe(docs: DataFrame, size: int, least: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays(columns, ["id", "h1", "n", "class", "prefix", "parts"])
 
     rows = docs.select("id", F.xxhash64("text").alias("h1"), "text")
-    return rows.mapInArrow(run, f"id {id_type}, h1 long, n long, class long, prefix array<long>, parts binary")
+    return rows.mapInArrow(tidy(run), f"id {id_type}, h1 long, n long, class long, prefix array<long>, parts binary")
 
 
 def prefix_groups(described: DataFrame) -> DataFrame:
@@ -187,7 +187,7 @@ def suffix_filtered(pairs: DataFrame, parts: DataFrame, least: int) -> DataFrame
 
     first = parts.select(F.col("class").alias("a"), F.col("n").alias("m"), F.col("parts").alias("x"))
     second = parts.select(F.col("class").alias("b"), "n", F.col("parts").alias("y"))
-    return pairs.join(first, "a").join(second, "b").mapInArrow(run, "a long, b long")
+    return pairs.join(first, "a").join(second, "b").mapInArrow(tidy(run), "a long, b long")
 
 
 def _sizes(parts: list[bytes]) -> np.ndarray:
@@ -237,7 +237,7 @@ def left_pairs(members: DataFrame, parts: DataFrame, least: int, drawn: int | No
             yield _crossed(held[0], held[1], [0, held[0].shape[1]], least, drawn, number)
 
     dealt = rows.repartition(partitions(members.sparkSession), "token", "i", "j").sortWithinPartitions("token", "i", "j")
-    return dealt.mapInArrow(pairs, "a long, b long").distinct()
+    return dealt.mapInArrow(tidy(pairs), "a long, b long").distinct()
 
 
 def _crossed(numbers: np.ndarray, parts: np.ndarray, ends: list[int], least: int, drawn: int | None, number: int) -> pa.RecordBatch:
@@ -313,7 +313,7 @@ def sets_of(docs: DataFrame, described: DataFrame, classes: DataFrame, size: int
                 columns = [batch.column("h1"), pa.array([class_of(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, ["h1", "class", "tokens"])
 
-    found = docs.select(F.xxhash64("text").alias("h1"), "text").mapInArrow(run, "h1 long, class long, tokens binary")
+    found = docs.select(F.xxhash64("text").alias("h1"), "text").mapInArrow(tidy(run), "h1 long, class long, tokens binary")
     sets = materialize(found.join(texts, ["h1", "class"], "left_semi").dropDuplicates(["class"]).select("class", "tokens"), "candidate-sets")
     release(texts)
     return sets
@@ -332,7 +332,7 @@ def verified(pairs: DataFrame, sets: DataFrame, least: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(good, pa.bool_())], ["a", "b", "linked"])
 
     both = pairs.join(sets.select(F.col("class").alias("a"), F.col("tokens").alias("x")), "a").join(sets.select(F.col("class").alias("b"), F.col("tokens").alias("y")), "b")
-    return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long, linked boolean")
+    return both.select("a", "b", "x", "y").mapInArrow(tidy(run), "a long, b long, linked boolean")
 
 
 def class_labels(docs: DataFrame, described: DataFrame, size: int, least: int) -> DataFrame | None:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from buildscope.llm.common import byte_texts, chunks
+from buildscope.llm.common import byte_texts, chunks, tidy
 from buildscope.llm.samples import labelled_sample
 
 GRAMS = (3, 4)
@@ -168,7 +168,7 @@ def keep_known(docs: DataFrame, model: Model, *, text_col: str = "text") -> Data
             _, _, rejected = _judged(batch.column(text_col), batch.column(flag), shared.value)
             yield batch.filter(pa.array(~rejected)).select(batch.schema.names[:-1])
 
-    return docs.withColumn(flag, _lettered(text_col)).mapInArrow(keep, docs.schema)
+    return docs.withColumn(flag, _lettered(text_col)).mapInArrow(tidy(keep), docs.schema)
 
 
 def predict(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -183,4 +183,4 @@ def predict(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col:
             yield pa.RecordBatch.from_arrays(columns, ["id", "lang_pred", "score", "rejected"])
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), _lettered(text_col).alias("lettered"))
-    return rows.mapInArrow(judge, f"id {id_type}, lang_pred string, score double, rejected boolean").withColumnRenamed("id", id_col)
+    return rows.mapInArrow(tidy(judge), f"id {id_type}, lang_pred string, score double, rejected boolean").withColumnRenamed("id", id_col)

@@ -37,7 +37,7 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from buildscope.llm.common import Remembered, chunks
+from buildscope.llm.common import Remembered, chunks, tidy
 
 SPACE = "▁"
 UNKNOWN_COST = 10.0
@@ -349,7 +349,7 @@ def _mapped(docs: DataFrame, id_col: str, text_col: str, schema: str, judge) ->
             gc.unfreeze()
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, f"id {id_type}, {schema}").withColumnRenamed("id", id_col)
+    return rows.mapInArrow(tidy(run), f"id {id_type}, {schema}").withColumnRenamed("id", id_col)
 
 
 def summarize(docs: DataFrame, model: str, nbest: int = NBEST, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -1,8 +1,12 @@
 """Links and components against all pairs."""
 
+import ctypes
 import random
 import re
+import time
+from pathlib import Path
 
+import pyarrow as pa
 import pytest
 from cases import ROWS, collected, documents, random_texts
 
@@ -143,3 +147,24 @@ def test_drawn_pairs_are_those_of_least_draw_in_both_directions():
         jaccard_join.CELLS = before
         assert few < every and len(few) <= 2 * 3 * 40
         assert all(sum(c in p for p in few) >= 3 for c in range(40))
+
+
+def worker_memory(spark):
+    """MB of memory of its own in the largest worker."""
+
+    def run(batches):
+        for batch in batches:
+            own = re.findall(r"\nPss_(?:Anon|Shmem):\s+(\d+)", Path("/proc/self/smaps_rollup").read_text())
+            time.sleep(0.05)  # so that all workers take part
+            yield pa.RecordBatch.from_arrays([pa.array([sum(map(int, own)) / 1024] * batch.num_rows)], ["mb"])
+
+    return spark.range(0, 16, 1, 16).mapInArrow(run, "mb double").agg(F.max("mb")).first()[0]
+
+
+@pytest.mark.skipif(not hasattr(ctypes.CDLL(None), "malloc_trim"), reason="memory goes back by the GNU library")
+def test_workers_keep_no_memory(spark):
+    words = F.transform(F.sequence(F.lit(0), F.lit(1_400)), lambda i: F.xxhash64("id", i).cast("string"))
+    texts = spark.range(0, 8_000, 1, 8).select("id", F.concat_ws(" ", words).alias("text"))
+    before = worker_memory(spark)
+    jaccard_join.describe(texts, 5, 80).write.format("noop").mode("overwrite").save()
+    assert worker_memory(spark) < max(before, 135)
