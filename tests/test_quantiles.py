@@ -2,6 +2,8 @@
 
 import numpy as np
 import pytest
+from conftest import rows_of
+from pyspark.sql import functions as F
 
 from buildscope.plans.quantiles import exact_quantiles, quantile_name
 
@@ -60,3 +62,14 @@ def test_a_missed_bracket_is_sorted_whole(spark, values, monkeypatch):
     monkeypatch.setattr(quantiles, "MARGIN", 0.0)
     found = {r["model_id"]: r for r in exact_quantiles(values, ["a", "b"], PROBS, map_rows=1, sort_rows=5, accuracy=20).collect()}
     assert found == expected
+
+
+def test_small_groups_have_the_bits_of_percentile(spark, values):
+    """Many groups in a task, one with a null key, one whose values are partly missing, whole numbers."""
+    wide = values.selectExpr("CASE WHEN model_id <> 'pair' THEN model_id END AS model_id", "a", "b", "TRY_CAST(a AS INT) AS c")
+    wide = wide.unionByName(spark.range(30_000).selectExpr("'k' || (id % 900) AS model_id", "rand(1) AS a", "CASE WHEN id % 7 > 0 THEN id / 3 END AS b", "CAST(id AS INT) AS c"))
+    found = exact_quantiles(wide, ["a", "b", "c"], PROBS)
+    assert "percentile" not in found._jdf.queryExecution().toString()
+    lists = wide.groupBy("model_id").agg(*[F.percentile(x, PROBS).alias(x) for x in "abc"])
+    expected = lists.select("model_id", *[F.col(x)[j].alias(quantile_name(x, p)) for x in "abc" for j, p in enumerate(PROBS)])
+    assert rows_of(found) == rows_of(expected) and found.count() == 908
