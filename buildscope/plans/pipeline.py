@@ -109,7 +109,8 @@ def analyse_directory(
         F.concat(F.lit("IFCLoadError: "), F.col("error")).alias("error_message"),
     )
     broken = checked.filter(~F.col("is_valid")).select("model_id")
-    entities = step.parse_entities(records)
+    # Written, as the files are read and parsed for each of the tables that follow else.
+    entities = materialize(step.parse_entities(records), "entities")
     unlisted = step.unlisted_types(entities, types).join(broken, "model_id", "left_anti")
     unlisted.write.mode("overwrite").parquet(f"{output}/unlisted_types")
     elements = step.extract_elements(entities, types, keep_entity_id=True)
